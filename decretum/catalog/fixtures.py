@@ -57,7 +57,7 @@ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_
 COURT_PAGES = f"""
 WITH cb AS ({COURT_BASE})
 SELECT record_id, 1 AS page, concat('order_', CAST(record_id AS VARCHAR(20)), '_28-Sep-',
-    CAST(CASE WHEN v = 3 THEN year(d) + 1 ELSE year(d) - 1 END AS VARCHAR(20)), '.pdf') AS original_file_name,
+    CAST(CASE WHEN v = 3 THEN year(d) - 1 ELSE year(d) + 1 END AS VARCHAR(20)), '.pdf') AS original_file_name,
   CASE v
   WHEN 0 THEN concat('REPORTABLE', chr(10), 'IN THE SUPREME COURT OF INDIA', chr(10), 'CIVIL APPEAL NO. ',
     CAST(record_id AS VARCHAR(20)), ' of ', CAST(year(d) AS VARCHAR(20)), chr(10), cn, ' ... Petitioner(s)', chr(10),
@@ -72,7 +72,7 @@ SELECT record_id, 1 AS page, concat('order_', CAST(record_id AS VARCHAR(20)), '_
     'An earlier decision dated 12-3-1975 was cited. The relief was allowed to stand there.')
   WHEN 3 THEN concat('DISTRICT COURT ', upper(place), chr(10), 'Criminal Appeal No. ', CAST(record_id AS VARCHAR(20)), ' of ',
     CAST(year(d) AS VARCHAR(20)), chr(10), cn, ' vs. Municipal Board', chr(10),
-    'Judgment dated ', CAST(day(d) AS VARCHAR(20)), '-', CAST(month(d) AS VARCHAR(20)), '-', CAST(year(d) AS VARCHAR(20)), '.')
+    'Appeal from the High Court of ', place, ', decided before.', chr(10), 'Judgment dated ', CAST(day(d) AS VARCHAR(20)), '-', CAST(month(d) AS VARCHAR(20)), '-', CAST(year(d) AS VARCHAR(20)), '.')
   WHEN 4 THEN concat('IN THE HIGH COURT OF ', upper(place), chr(10), 'Writ Petition No. ', CAST(record_id AS VARCHAR(20)), ' of ',
     CAST(year(d) AS VARCHAR(20)), chr(10), cn, ' v. Collector & Ors.', chr(10), 'We heard Mr. ', j2, ', learned senior')
   ELSE concat('Proceedings of the tribunal as follows', chr(10), 'Item ', CAST(record_id AS VARCHAR(20)), chr(10),
@@ -84,7 +84,7 @@ SELECT record_id, 2, CAST(NULL AS VARCHAR(20)), CASE v
   WHEN 1 THEN concat('In view of the above we grant leave and tag this appeal with Civil Appeal No. 7 of 2001. Page 2 of the order follows.', chr(10),
     'CJI.', chr(10), '[', upper(j2), ']')
   WHEN 2 THEN 'The petitioner submits that the claim was dismissed. The costs are left open.'
-  WHEN 3 THEN 'The order is set aside and the matter is remitted to the Board of Revenue for fresh consideration.'
+  WHEN 3 THEN 'The order, on facts, is set aside and the matter is remitted to the High Court for fresh consideration.'
   WHEN 4 THEN concat('counsel appearing for the appellant, at length. Ms. ', j1, ', learned counsel for the respondents, replied. ',
     'The Municipal Board shall update the records within six weeks.')
   ELSE 'We direct that the Collector is directed to pay the compensation within 2 months. The parties shall bear their own costs.' END
