@@ -40,4 +40,4 @@ def settle(df: DataFrame) -> DataFrame:
 
 def size_in_bytes(df: DataFrame) -> int:
     """Size estimate of the optimizer, from file and table statistics."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
