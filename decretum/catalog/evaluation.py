@@ -50,7 +50,7 @@ def _titles(spark, sf_dir):
 
 @query(
     "e8_match_expected_actions",
-    f"{_E8} SELECT file_name, idx AS action_index, found.title AS actual_title, CASE WHEN found IS NULL THEN 'no matching action found' WHEN by_title THEN 'matched by title' ELSE 'matched by index' END AS note FROM m",
+    f"{_E8} SELECT file_name, idx AS action_index, found.title AS actual_title, CASE WHEN found.idx IS NULL THEN 'no matching action found' WHEN by_title THEN 'matched by title' ELSE 'matched by index' END AS note FROM m",
 )
 def e8(spark, sf_dir):
     e, a = _titles(spark, sf_dir)
@@ -78,7 +78,7 @@ def e9(spark, sf_dir):
 
 @query(
     "j3_score_directions",
-    f"{_E8} SELECT CASE WHEN found IS NULL THEN 'no matching direction found' WHEN by_title THEN 'matched by text' ELSE 'matched by index' END AS note, count(*) AS n FROM m GROUP BY 1",
+    f"{_E8} SELECT CASE WHEN found.idx IS NULL THEN 'no matching direction found' WHEN by_title THEN 'matched by text' ELSE 'matched by index' END AS note, count(*) AS n FROM m GROUP BY 1",
 )
 def j3(spark, sf_dir):
     e, a = _titles(spark, sf_dir)
@@ -642,8 +642,8 @@ def i8(spark, sf_dir):
 
 @query(
     "k1_request_rate",
-    f"""WITH e AS (SELECT event_id, user_id, epoch(ts) AS t, {_K} * 100 AS tok FROM events)
-    SELECT event_id, count(*) OVER w AS requests, sum(tok) OVER w AS tokens FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 59.999999 PRECEDING AND CURRENT ROW)""",
+    f"""WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t, {_K} * 100 AS tok FROM events)
+    SELECT event_id, count(*) OVER w AS requests, sum(tok) OVER w AS tokens FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)""",
 )
 def k1(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.get_json_object("props", "$.k").cast("long") * 100).alias("tokens"))

@@ -676,10 +676,10 @@ def a13(spark, sf_dir):
 
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/json"
     rows = records(spark, sf_dir).select("record_id", "case_number", "review_status")
-    from decretum.sources.tables import checkpoint_folder
+    from decretum.sources.tables import shared_folder
 
     if not spark.sparkContext.master.startswith("local"):
-        folder = checkpoint_folder(spark) + "/export_json"
+        folder = shared_folder(spark) + "/export_json"
     E.export_json(rows, folder)
     return spark.read.schema(rows.schema).json(folder)
 

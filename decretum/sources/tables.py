@@ -3,39 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 BROADCAST_LIMIT = 32 * 1024 * 1024
+_local_folders: dict[str, str] = {}
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not folder:
-        folder = _own_folder(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder for intermediate tables: ``spark.checkpoint.dir``.
 
-def _own_folder(spark: SparkSession) -> str:
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    Only a local session without that setting gets a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    app = spark.sparkContext.applicationId
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _local_folders.setdefault(app, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return f"{folder.rstrip('/')}/decretum-{app}"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+    """Write ``df`` as a table in the shared folder and go on from there.
 
     The result survives the loss of executors, is computed once however many
-    consumers it has, and starts a fresh, short plan.
+    consumers it has, starts a fresh, short plan, and is read column by column.
     """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def size_in_bytes(df: DataFrame) -> int:

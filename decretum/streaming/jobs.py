@@ -38,11 +38,12 @@ def trailing_rate(events: DataFrame, key: str) -> DataFrame:
     The day is part of the partition so that no key fills one task; events of
     the last minute of the day before are added to each day.
     """
-    t = F.col("ts").cast("double")
-    day = F.floor(t / 86400)
+    minute, whole_day = 60_000_000, 86_400_000_000
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    day = F.floor(t / whole_day)
     rows = events.withColumns({"_t": t, "_day": day, "_own": F.lit(True)})
-    carried = rows.where(F.pmod(F.col("_t"), F.lit(86400)) >= 86400 - 60).withColumns({"_day": F.col("_day") + 1, "_own": F.lit(False)})
-    w = Window.partitionBy(key, "_day").orderBy("_t").rangeBetween(-59.999999, 0)
+    carried = rows.where(F.pmod(F.col("_t"), F.lit(whole_day)) >= whole_day - minute).withColumns({"_day": F.col("_day") + 1, "_own": F.lit(False)})
+    w = Window.partitionBy(key, "_day").orderBy("_t").rangeBetween(1 - minute, 0)
     both = rows.unionByName(carried).withColumns({"requests": F.count("*").over(w), "tokens_in_minute": F.sum("tokens").over(w)})
     out = both.where("_own").drop("_t", "_day", "_own", "tokens").withColumnRenamed("tokens_in_minute", "tokens")
     return _over(out)
