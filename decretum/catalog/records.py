@@ -346,7 +346,7 @@ SELECT record_id, other AS duplicate_group, 1 AS copies, round_even(score, 2) AS
 @query("e3_near_duplicates", _NEAR)
 def e3(spark, sf_dir):
     r = _near_records(spark, sf_dir)
-    return D.near_duplicates(r, r, similarity=D.edit_similarity).drop("user_id")
+    return D.near_duplicates(r, r, similarity=D.edit_ratio).drop("user_id")
 
 
 @query("e3_near_duplicates_by_sequence")
