@@ -13,6 +13,7 @@ from decretum.operators import fields as X
 from decretum.operators import quality as Q
 from decretum.operators import retrieval as R
 from decretum.sources.corpus import conversation_pages
+from decretum.sources.tables import settle
 
 QUERIES = {}
 ORACLES = {}
@@ -368,11 +369,9 @@ def c20_windows(spark, sf_dir):
 )
 def c21(spark, sf_dir):
     cands = C.page_candidates(judgment_pages(spark, sf_dir), ["directions"]).where("page < 99")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("record_id").orderBy("page", "pos")
+    cands = X.with_ordinals(settle(cands), ["record_id"], ["page", "pos"], F.floor(F.col("page") / 64), "ordinal")
     ev = cands.select(
-        "record_id", F.lit("direction").alias("target_type"), F.row_number().over(order).alias("ordinal"), "evidence.page", "evidence.bbox",
+        "record_id", F.lit("direction").alias("target_type"), "ordinal", "evidence.page", "evidence.bbox",
         "evidence.snippet", "evidence.extraction_method", "evidence.source_quality", F.lit(None).cast("string").alias("match_strategy"),
         "evidence.confidence", "evidence.locator_confidence",
     )

@@ -35,17 +35,17 @@ def request_rate(events: DataFrame, *, lateness: str = "2 minutes", slide: str =
 def trailing_rate(events: DataFrame, key: str) -> DataFrame:
     """Batch twin: load over the 60 seconds before each event of a key.
 
-    The day is part of the partition so that no key fills one task; events of
-    the last minute of the day before are added to each day.
+    The hour is part of the partition so that no key fills one task; events of
+    the last minute of the hour before are added to each hour.
     """
-    minute, whole_day = 60_000_000, 86_400_000_000
+    minute, hour = 60_000_000, 3_600_000_000
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    day = F.floor(t / whole_day)
-    rows = events.withColumns({"_t": t, "_day": day, "_own": F.lit(True)})
-    carried = rows.where(F.pmod(F.col("_t"), F.lit(whole_day)) >= whole_day - minute).withColumns({"_day": F.col("_day") + 1, "_own": F.lit(False)})
-    w = Window.partitionBy(key, "_day").orderBy("_t").rangeBetween(1 - minute, 0)
+    at_hour = F.floor(t / hour)
+    rows = events.withColumns({"_t": t, "_hour": at_hour, "_own": F.lit(True)})
+    carried = rows.where(F.pmod(F.col("_t"), F.lit(hour)) >= hour - minute).withColumns({"_hour": F.col("_hour") + 1, "_own": F.lit(False)})
+    w = Window.partitionBy(key, "_hour").orderBy("_t").rangeBetween(1 - minute, 0)
     both = rows.unionByName(carried).withColumns({"requests": F.count("*").over(w), "tokens_in_minute": F.sum("tokens").over(w)})
-    out = both.where("_own").drop("_t", "_day", "_own", "tokens").withColumnRenamed("tokens_in_minute", "tokens")
+    out = both.where("_own").drop("_t", "_hour", "_own", "tokens").withColumnRenamed("tokens_in_minute", "tokens")
     return _over(out)
 
 
