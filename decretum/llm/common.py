@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from decretum.sources.tables import settle, shared_folder
 
-__all__ = ["WORD", "SPACES", "bounded_broadcast", "hot_keys", "map_arrow", "partitions", "settle", "shared_folder", "with_salt"]
+__all__ = ["WORD", "SPACES", "bounded_broadcast", "fold", "hot_keys", "labelled_sample", "map_arrow", "partitions", "settle", "shared_folder", "with_salt"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,3 +52,21 @@ def map_arrow(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict[
             yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
 
     return df.mapInArrow(run, schema)
+
+
+def fold(id_: Column, folds: int = 5) -> Column:
+    """crc32 of the id as text, modulo ``folds``; 0 is held out of training."""
+    return (F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, text, label`` of at most ``rows`` labelled ids that are not held out, the first in the order of their digests.
+
+    Null ids, null labels and null texts are left out; of several labels of an id the
+    largest counts. The sample of ids has at most ``rows`` rows, so it is broadcast.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
+    known = known.groupBy("id").agg(F.max("label").alias("label")).where(fold(F.col("id")) != 0)
+    taken = known.orderBy(F.md5(F.col("id").cast("string")), "id").limit(rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    return texts.join(F.broadcast(taken), "id")

@@ -9,6 +9,8 @@ from decretum.llm.exact_dedup import exact_dedup
 from decretum.llm.line_dedup import line_dedup
 from decretum.llm.mixing import LEVELS, mix
 from decretum.llm.packing import pack
+from decretum.llm.quality_rules import COUNTS, apply_rules, train_rules
+from decretum.llm.simhash import simhash_components
 
 #: Target weights of the mixture: domains, languages; sources of a language count alike.
 MIX_WEIGHTS = {"domain": {"d0": 40, "d1": 30, "d2": 20, "d3": 10}, "lang": {"en": 60, "de": 15, "fr": 15, "es": 10, "*": 5}, "source": {}}
@@ -28,6 +30,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = apply_rules(docs.select("doc_id", "text"), train_rules(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", *COUNTS, "base_failed", "kept", "quality_score")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -36,6 +44,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents"), "source", "text", LINE_RATIO, LINE_MIN_PAGES)
     return found.select("doc_id", "source", "n_lines", "n_lines_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -125,5 +137,5 @@ WITH {mix_sql("documents")}
 SELECT doc_id, mix_domain AS domain, mix_lang AS lang, mix_source AS source, tokens AS n_tokens, copies FROM mixed
 """
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_exact_dedup, op8_line_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op4_exact_dedup, op7_simhash_near_dedup, op8_line_dedup, op9_mixing)}
 ORACLES = {"op4_exact_dedup": EXACT_SQL, "op8_line_dedup": LINE_SQL, "op9_mixing": MIX_SQL}
