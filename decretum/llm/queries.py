@@ -11,6 +11,7 @@ from decretum.llm.mixing import LEVELS, mix
 from decretum.llm.packing import pack
 from decretum.llm.quality_rules import COUNTS, apply_rules, train_rules
 from decretum.llm.simhash import simhash_components
+from decretum.llm.warc import read_bundles, warc_folder, write_bundles
 
 #: Target weights of the mixture: domains, languages; sources of a language count alike.
 MIX_WEIGHTS = {"domain": {"d0": 40, "d1": 30, "d2": 20, "d3": 10}, "lang": {"en": 60, "de": 15, "fr": 15, "es": 10, "*": 5}, "source": {}}
@@ -44,6 +45,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = write_bundles(table(spark, sf_dir, "pages"), warc_folder(spark))
+    return read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -72,6 +78,17 @@ FROM n
 """
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex,
+  max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top,
+  row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) = 1 AS leads FROM pages)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+    ((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN leads THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN leads THEN NULL ELSE top END AS refers_to FROM p
+"""
+
+
 def line_sql(docs: str, ratio: float = LINE_RATIO, min_pages: int = LINE_MIN_PAGES) -> str:
     """CTEs that end in ``lined``: the rows of ``docs`` with their lines ``ls`` and kept lines ``kept``."""
     return rf"""
@@ -137,5 +154,5 @@ WITH {mix_sql("documents")}
 SELECT doc_id, mix_domain AS domain, mix_lang AS lang, mix_source AS source, tokens AS n_tokens, copies FROM mixed
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op4_exact_dedup, op7_simhash_near_dedup, op8_line_dedup, op9_mixing)}
-ORACLES = {"op4_exact_dedup": EXACT_SQL, "op8_line_dedup": LINE_SQL, "op9_mixing": MIX_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op4_exact_dedup, op5_warc, op7_simhash_near_dedup, op8_line_dedup, op9_mixing)}
+ORACLES = {"op4_exact_dedup": EXACT_SQL, "op5_warc": WARC_SQL, "op8_line_dedup": LINE_SQL, "op9_mixing": MIX_SQL}
