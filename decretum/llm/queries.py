@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from decretum.llm.byte_net import quality_scores, train_quality_net
 from decretum.llm.exact_dedup import exact_dedup
 from decretum.llm.line_dedup import line_dedup
 from decretum.llm.mixing import LEVELS, mix
 from decretum.llm.packing import pack
 from decretum.llm.quality_rules import COUNTS, apply_rules, train_rules
 from decretum.llm.simhash import simhash_components
+from decretum.llm.toxicity import toxicity_scores, train_toxicity
 from decretum.llm.warc import read_bundles, warc_folder, write_bundles
 
 #: Target weights of the mixture: domains, languages; sources of a language count alike.
@@ -41,6 +43,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, train_quality_net(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -70,6 +77,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"mix_{x}").alias(x) for x in LEVELS], F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("copies"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 EXACT_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -154,5 +166,5 @@ WITH {mix_sql("documents")}
 SELECT doc_id, mix_domain AS domain, mix_lang AS lang, mix_source AS source, tokens AS n_tokens, copies FROM mixed
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op4_exact_dedup, op5_warc, op7_simhash_near_dedup, op8_line_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_quality_classifier, op4_exact_dedup, op5_warc, op7_simhash_near_dedup, op8_line_dedup, op9_mixing, op10_toxicity)}
 ORACLES = {"op4_exact_dedup": EXACT_SQL, "op5_warc": WARC_SQL, "op8_line_dedup": LINE_SQL, "op9_mixing": MIX_SQL}
