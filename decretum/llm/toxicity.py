@@ -22,14 +22,23 @@ KINDS = {
 }
 
 
-def text_words(text: str | None) -> set[bytes]:
-    """Distinct words of a whole text, A-Z lower-cased."""
-    return set(WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower()))
+#: Lengths in bytes of the word beginnings that are features beside the words: inflected and compound forms share them.
+BEGINNINGS = (4, 5, 6, 7, 8)
+
+
+def text_features(text: str | None) -> set[bytes]:
+    """Distinct words of a whole text, A-Z lower-cased, and their beginnings (marked by a star)."""
+    words = set(WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower()))
+    return words.union(*[{w[:n] + b"*" for w in words if len(w) >= n} for n in BEGINNINGS])
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 @dataclass
 class Chain:
-    """Linear models in a row: each sees the words and the probabilities of all links before it."""
+    """Linear models in a row: each sees the features and the probabilities of all links before it."""
 
     names: tuple[str, ...]
     vocabulary: dict[bytes, int]
@@ -40,7 +49,7 @@ class Chain:
         out = np.zeros((len(texts), len(self.vocabulary)), np.float32)
         known = self.vocabulary.keys()
         for i, text in enumerate(texts):
-            for word in known & text_words(text):
+            for word in known & text_features(text):
                 out[i, self.vocabulary[word]] = 1
         return out
 
@@ -48,7 +57,7 @@ class Chain:
         """``(rows, links)``."""
         earlier = np.zeros((len(x), 0))
         for w, b in zip(self.weights, self.offsets, strict=True):
-            p = 1 / (1 + np.exp(-(np.concatenate([x, earlier], 1) @ w + b)))
+            p = sigmoid(np.concatenate([x, earlier], 1) @ w + b)
             earlier = np.concatenate([earlier, p[:, None]], 1)
         return earlier
 
@@ -62,7 +71,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 12) -
     penalty = np.full(len(w), l2)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-full @ w))
+        p = sigmoid(full @ w)
         step = np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full + np.diag(penalty), full.T @ (p - y) + penalty * w)
         w -= step
         if np.abs(step).max() < 1e-4:
@@ -86,7 +95,7 @@ def train_chain(x: np.ndarray, y: np.ndarray, names: Sequence[str], vocabulary:
         unseen = np.empty(len(x))
         for k in range(folds):
             own_w, own_b = fit_linear(full[part != k], y[part != k, j])
-            unseen[part == k] = 1 / (1 + np.exp(-(full[part == k] @ own_w + own_b)))
+            unseen[part == k] = sigmoid(full[part == k] @ own_w + own_b)
         earlier = np.concatenate([earlier, unseen[:, None]], 1)
     return Chain(tuple(names), dict(vocabulary), weights, offsets)
 
@@ -104,7 +113,7 @@ def train_toxicity(
     """Chain of one link per kind (toxic documents with one of its words) and a last one for ``label``.
 
     Fitted on at most ``sample_rows`` labelled documents outside the held-out fold. Its
-    features are the ``vocabulary_size`` words of the sample whose presence
+    features are the ``vocabulary_size`` words and beginnings of the sample whose presence
     differs most between the classes (chi-squared, in five documents or more).
     """
     kinds = kinds if kinds is not None else KINDS
@@ -114,7 +123,7 @@ def train_toxicity(
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(text_words(t.as_py())) for t in batch.column("text")]
+            found = [sorted(text_features(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(found, pa.list_(pa.binary()))], ["id", "label", "words"])
 
     held = settle(sample.mapInArrow(words, f"{key}, words array<binary>").groupBy("id").agg(F.min_by(F.struct("label", "words"), "words").alias("r")).select("id", "r.*"))
