@@ -12,6 +12,7 @@ from decretum.llm.mixing import LEVELS, mix
 from decretum.llm.packing import pack
 from decretum.llm.quality_rules import COUNTS, apply_rules, train_rules
 from decretum.llm.simhash import simhash_components
+from decretum.llm.substring_dedup import remove_repeats
 from decretum.llm.toxicity import toxicity_scores, train_toxicity
 from decretum.llm.warc import read_bundles, warc_folder, write_bundles
 
@@ -57,6 +58,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -166,5 +171,5 @@ WITH {mix_sql("documents")}
 SELECT doc_id, mix_domain AS domain, mix_lang AS lang, mix_source AS source, tokens AS n_tokens, copies FROM mixed
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_quality_classifier, op4_exact_dedup, op5_warc, op7_simhash_near_dedup, op8_line_dedup, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_quality_classifier, op4_exact_dedup, op5_warc, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_line_dedup, op9_mixing, op10_toxicity)}
 ORACLES = {"op4_exact_dedup": EXACT_SQL, "op5_warc": WARC_SQL, "op8_line_dedup": LINE_SQL, "op9_mixing": MIX_SQL}
