@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from decretum.catalog.actions import ACTION_LINES, J_ACTIONS, j_parts, line_actions
@@ -13,7 +15,7 @@ from decretum.operators import metrics as M
 from decretum.operators import review as R
 from decretum.sources import export as E
 from decretum.sources import store as S
-from decretum.sources.tables import settle
+from decretum.sources.tables import settle, shared_folder
 
 QUERIES = {}
 ORACLES = {}
@@ -201,9 +203,9 @@ def g1(spark, sf_dir):
     return S.order_by(store(spark, sf_dir), "case_number", "DESCENDING", 25).select("doc_id", "case_number")
 
 
-@query("g2_latest_first", f"SELECT doc_id, updated_at FROM ({STORE}) ORDER BY updated_at DESC, doc_id LIMIT 100")
+@query("g2_latest_first", f"SELECT doc_id, updated_at FROM ({STORE}) ORDER BY updated_at DESC, doc_id")
 def g2(spark, sf_dir):
-    return S.latest_first(store(spark, sf_dir), "doc_id").limit(100).select("doc_id", "updated_at")
+    return S.latest_first(store(spark, sf_dir), "doc_id").select("doc_id", "updated_at")
 
 
 @query("g4_audit_timeline", "SELECT event_id, user_id AS record_id, ts AS created_at FROM events")
@@ -244,7 +246,7 @@ def f11(spark, sf_dir):
 @query(
     "k5_pending_documents",
     f"""SELECT id FROM ({STORE}) LEFT JOIN ({_SYNC}) USING (id) WHERE sync_status IS NULL OR sync_status = 'pending'
-      OR (sync_status = 'failed' AND last_synced_at < TIMESTAMP '2024-01-01 00:05:00') ORDER BY updated_at, id LIMIT 100""",
+      OR (sync_status = 'failed' AND last_synced_at < TIMESTAMP '2024-01-01 00:05:00') ORDER BY updated_at, id""",
 )
 def k5_pending(spark, sf_dir):
     now = F.to_timestamp(F.lit("2024-01-01 00:10:00"))
@@ -300,7 +302,7 @@ def e1_documents(spark, sf_dir):
 )
 def e2(spark, sf_dir):
     r = records(spark, sf_dir).withColumns({"has_extraction": F.lit(True), "has_actions": F.col("record_id") % 4 != 0})
-    return D.replay_candidates(r).drop("cached_at")
+    return D.replay_candidates(r).drop("cached_at", "next_best")
 
 
 @query(
@@ -319,46 +321,54 @@ def j11(spark, sf_dir):
     )
 
 
-def _near_records(spark, sf_dir):
-    """One user for each customer; some records share the date and the file."""
-    return records(spark, sf_dir).withColumns(
-        {
-            "user_id": F.col("owner_id"),
-            "judgment_date": F.when(F.col("record_id") % 4 != 0, F.trunc("judgment_date", "year")),
-            "document_hash": F.sha2(F.concat(F.col("owner_id"), F.lit("-"), F.col("record_id") % 3), 256),
-            "original_file_name": F.concat(F.lit("wp-"), F.col("record_id") % 3, F.lit(".pdf")),
-        }
+@query(
+    "j11_replay_self",
+    f"""WITH r AS (SELECT *, record_id % 4 <> 0 AS done FROM ({RECORDS})),
+      p AS (SELECT a.record_id, b.record_id AS source_record_id, b.case_number AS copied_case FROM r a JOIN r b ON a.user_id = b.user_id AND a.content = b.content
+        AND a.record_id <> b.record_id AND b.done QUALIFY row_number() OVER (PARTITION BY a.record_id ORDER BY CASE b.review_status WHEN 'approved' THEN 0 WHEN 'edited' THEN 1 ELSE 3 END, b.updated_at, b.record_id) = 1)
+    SELECT record_id, CASE WHEN source_record_id IS NULL THEN 'process' ELSE 'cache_replay' END AS mode, source_record_id, coalesce(copied_case, case_number) AS case_number
+    FROM r LEFT JOIN p USING (record_id)""".replace("coalesce(copied_case, case_number)", "coalesce(p.copied_case, r.case_number)"),
+)
+def j11_self(spark, sf_dir):
+    """Every stored record asks again: the best other one answers, and its case number is copied."""
+    r = records(spark, sf_dir).withColumns({"has_extraction": F.lit(True), "has_actions": F.col("record_id") % 4 != 0})
+    done, todo = D.replay_from_cache(r.select("user_id", "record_id", "document_hash", "case_number"), r, ("case_number",))
+    cols = ["record_id", F.col("processing_mode").alias("mode"), F.col("cache_source_record_id").alias("source_record_id"), "case_number"]
+    return done.select(*cols).unionByName(
+        todo.select("record_id", F.lit("process").alias("mode"), F.lit(None).cast("long").alias("source_record_id"), "case_number")
     )
 
 
-_NEAR = f"""WITH r AS (SELECT record_id, owner_id, case_number, court, concat(owner_id, '-', record_id % 3) AS h, concat('wp-', record_id % 3, '.pdf') AS f,
-    CASE WHEN record_id % 4 <> 0 THEN year(judgment_date) END AS d FROM ({RECORDS})),
-  p AS (SELECT a.record_id, b.record_id AS other, a.h = b.h AS same_hash, 1 - levenshtein(lower(a.case_number), lower(b.case_number)) / greatest(length(a.case_number), length(b.case_number)) AS cs,
-    CASE WHEN a.h = b.h THEN 1.0 ELSE (1 - levenshtein(lower(a.case_number), lower(b.case_number)) / greatest(length(a.case_number), length(b.case_number))) * 0.45
+@query(
+    "e1_duplicates_of",
+    f"""SELECT a.user_id, a.record_id, b.record_id AS duplicate_id FROM ({RECORDS}) a JOIN ({RECORDS}) b
+      ON a.user_id = b.user_id AND a.content = b.content AND a.record_id <> b.record_id WHERE a.review_status = 'edited'""",
+)
+def e1_of(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return D.duplicates_of(r, r.where("review_status = 'edited'")).select("user_id", "record_id", "duplicate_id")
+
+
+# records of the newest month come in; the store is everything
+_NEAR = f"""WITH r AS (SELECT * FROM ({RECORDS})),
+  c AS (SELECT * FROM r WHERE date_trunc('month', judgment_date) = (SELECT max(date_trunc('month', judgment_date)) FROM r)),
+  p AS (SELECT a.record_id, b.record_id AS other, a.content = b.content AS same_hash, 1 - levenshtein(lower(a.case_number), lower(b.case_number)) / greatest(length(a.case_number), length(b.case_number)) AS cs,
+    CASE WHEN a.content = b.content THEN 1.0 ELSE (1 - levenshtein(lower(a.case_number), lower(b.case_number)) / greatest(length(a.case_number), length(b.case_number))) * 0.45
       + (1 - levenshtein(lower(a.court), lower(b.court)) / greatest(length(a.court), length(b.court))) * 0.2
-      + (CASE WHEN a.d IS NOT DISTINCT FROM b.d THEN 1.0 ELSE 0.0 END) * 0.2
-      + (1 - levenshtein(a.f, b.f) / greatest(length(a.f), length(b.f))) * 0.15 END AS score
-    FROM r a JOIN r b ON a.owner_id = b.owner_id AND a.record_id <> b.record_id)
+      + (CASE WHEN a.judgment_date IS NOT DISTINCT FROM b.judgment_date THEN 1.0 ELSE 0.0 END) * 0.2
+      + (1 - levenshtein(a.original_file_name, b.original_file_name) / greatest(length(a.original_file_name), length(b.original_file_name))) * 0.15 END AS score
+    FROM c a JOIN r b ON a.user_id = b.user_id AND a.record_id <> b.record_id)
 SELECT record_id, other AS duplicate_group, 1 AS copies, round_even(score, 2) AS duplicate_score,
   CASE WHEN same_hash THEN 'same_document_hash' WHEN cs > 0.92 THEN 'same_case_number' ELSE 'similar_case_metadata' END AS duplicate_reason FROM p WHERE score >= 0.58"""
 
 
 @query("e3_near_duplicates", _NEAR)
 def e3(spark, sf_dir):
-    r = _near_records(spark, sf_dir)
-    return D.near_duplicates(r, r, similarity=D.edit_ratio).drop("user_id")
-
-
-@query("e3_near_duplicates_by_sequence")
-def e3_sequence(spark, sf_dir):
-    r = _near_records(spark, sf_dir)
-    return D.near_duplicates(r, r).drop("user_id")
-
-
-@query("d8_sequence_similarity", "SELECT l_linestatus || l_returnflag AS pair, count(*) AS n, CAST(l_linestatus = l_returnflag AS DOUBLE) AS similarity FROM lineitem GROUP BY l_linestatus, l_returnflag")
-def d8(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").groupBy("l_linestatus", "l_returnflag").agg(F.count("*").alias("n"))
-    return li.select(F.concat("l_linestatus", "l_returnflag").alias("pair"), "n", D.sequence_similarity(F.col("l_linestatus"), F.col("l_returnflag")).alias("similarity"))
+    r = records(spark, sf_dir)
+    month = F.trunc("judgment_date", "month")
+    newest = r.agg(F.max(month).alias("newest"))
+    batch = r.withColumn("newest", month).join(newest, "newest").drop("newest")
+    return D.near_duplicates(batch, r).drop("user_id")
 
 
 @query("d8_edit_similarity", "SELECT p_partkey, CASE WHEN p_name = '' OR p_type = '' THEN 0.0 ELSE 1 - levenshtein(lower(trim(p_name)), lower(trim(p_type))) / greatest(length(trim(p_name)), length(trim(p_type))) END AS similarity FROM part")
@@ -622,12 +632,12 @@ def j9(spark, sf_dir):
 @query(
     "b3_list_records",
     f"""SELECT record_id, updated_at FROM ({RECORDS}) WHERE review_status = 'pending_review' AND court = 'High Court of Delhi' AND lower(case_number) LIKE '%petition no. 1%'
-    ORDER BY updated_at DESC, record_id LIMIT 50""",
+    ORDER BY updated_at DESC, record_id""",
 )
 def b3(spark, sf_dir):
     none = F.array().cast("array<string>")
     q = records(spark, sf_dir).withColumns({"departments": F.array("court"), "escalations": none})
-    out = R.list_records(q, status="pending_review", department="delhi", role="data_reviewer", case_query="Petition No. 1", limit=50)
+    out = R.list_records(q, status="pending_review", department="delhi", role="data_reviewer", case_query="Petition No. 1")
     return out.select("record_id", "updated_at")
 
 
@@ -672,14 +682,8 @@ def a12(spark, sf_dir):
     f"SELECT record_id, case_number, review_status FROM ({RECORDS})",
 )
 def a13(spark, sf_dir):
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/json"
+    folder = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
     rows = records(spark, sf_dir).select("record_id", "case_number", "review_status")
-    from decretum.sources.tables import shared_folder
-
-    if not spark.sparkContext.master.startswith("local"):
-        folder = shared_folder(spark) + "/export_json"
     E.export_json(rows, folder)
     return spark.read.schema(rows.schema).json(folder)
 

@@ -366,9 +366,9 @@ def list_records(
     department: str | None = None,
     role: str | None = None,
     case_query: str | None = None,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Review queue: filtered, newest first, between 1 and 500 rows."""
+    """Review queue: filtered, newest first; the first ``limit`` rows where one is given."""
     out = queue
     if status:
         out = out.where(F.col("review_status") == status)
@@ -382,7 +382,8 @@ def list_records(
     if case_query:
         said = F.lower(F.concat_ws(" ", F.coalesce("case_number", F.lit("")), F.coalesce("court", F.lit("")), F.col("record_id").cast("string")))
         out = out.where(said.contains(case_query.lower()))
-    return out.orderBy(F.desc_nulls_last("updated_at"), "record_id").limit(max(1, min(limit, 500)))
+    ordered = out.orderBy(F.desc_nulls_last("updated_at"), "record_id")
+    return ordered if limit is None else ordered.limit(max(1, limit))
 
 
 def register_from_arrays(dashboard: DataFrame) -> DataFrame:

@@ -159,7 +159,7 @@ def read_with_fallback(primary: DataFrame, local: DataFrame, keys: Sequence[str]
     return primary.withColumn("read_from", F.lit("primary")).unionByName(rest.withColumn("read_from", F.lit("local")))
 
 
-def pending_documents(store: DataFrame, status: DataFrame, now: Column, limit: int | None = 100) -> DataFrame:
+def pending_documents(store: DataFrame, status: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
     """Documents to push: never synced, pending, or failed more than 300 seconds ago; oldest first."""
     rows = store.join(status.select("id", "sync_status", "last_synced_at"), "id", "left")
     retry = (F.col("sync_status") == "failed") & (F.col("last_synced_at") < now - F.expr("interval 300 seconds"))

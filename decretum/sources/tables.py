@@ -1,4 +1,4 @@
-"""Intermediate tables in the shared folder, and their size."""
+"""Intermediate tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -7,21 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-BROADCAST_LIMIT = 32 * 1024 * 1024
 _local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's folder for intermediate tables: ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own, one per application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", "")
     app = spark.sparkContext.applicationId
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = _local_folders.setdefault(app, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if app not in _local_folders:
+            _local_folders[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = _local_folders[app]
     return f"{folder.rstrip('/')}/decretum-{app}"
 
 
@@ -36,6 +37,8 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Size estimate of the optimizer, from file and table statistics."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def remove_settled(spark: SparkSession) -> bool:
+    """Delete the application's intermediate tables; call it when no result that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
