@@ -293,18 +293,16 @@ def h10(spark, sf_dir):
 
 @query(
     "h11_package_risk_flags",
-    f"""SELECT record_id, CASE v WHEN 0 THEN 'page_or_ocr_evidence|inferred_assignee_review'
-      WHEN 1 THEN 'appeal_review_required|page_or_ocr_evidence|inferred_assignee_review|timeline_not_specified|missing_timeline'
-      WHEN 2 THEN 'missing_case_number' WHEN 3 THEN 'page_or_ocr_evidence|timeline_not_specified|inferred_assignee_review'
-      WHEN 4 THEN 'page_or_ocr_evidence|inferred_assignee_review|owner_unclear|missing_timeline|appeal_review_required'
-      ELSE 'missing_case_number|missing_court|page_or_ocr_evidence|inferred_assignee_review' END AS risk_flags FROM ({COURT_BASE})""",
+    f"""SELECT record_id, CASE v WHEN 0 THEN 'source_review_required|inferred_assignee_review'
+      WHEN 1 THEN 'appeal_review_required|source_review_required|inferred_assignee_review|timeline_not_specified|missing_timeline'
+      WHEN 2 THEN 'missing_case_number' WHEN 3 THEN 'source_review_required|timeline_not_specified|inferred_assignee_review'
+      WHEN 4 THEN 'source_review_required|inferred_assignee_review|owner_unclear|missing_timeline|appeal_review_required'
+      ELSE 'missing_case_number|missing_court|source_review_required|inferred_assignee_review' END AS risk_flags FROM ({COURT_BASE})""",
 )
 def h11(spark, sf_dir):
     pages, rows, directions = _court_parts(spark, sf_dir)
     out = A.package_flags(pages.select("record_id"), rows, settle(A.action_plan(rows, directions)))
-    # slugs such as page_or_ocr_evidence fall into the evidence bucket of the flag normaliser
-    named = F.transform("risk_flags", lambda f: F.when(f == "source_review_required", "page_or_ocr_evidence").otherwise(f))
-    return out.select("record_id", F.array_join(named, "|").alias("risk_flags"))
+    return out.select("record_id", F.array_join("risk_flags", "|").alias("risk_flags"))
 
 
 @query(

@@ -161,6 +161,35 @@ def a10(spark, sf_dir):
     return out.agg(F.count("*").alias("events"), F.count_distinct("record_id").alias("records"))
 
 
+@query("a10_write_audit", "SELECT event_id AS source_id, event_type AS after FROM events")
+def a10_write(spark, sf_dir):
+    """Half of the events, then all of them, appended to a table on disk."""
+    path = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
+    e = audit(spark, sf_dir).withColumnRenamed("event_id", "source_id")
+    S.write_audit(e.where("source_id % 2 = 0"), path)
+    S.write_audit(e, path)
+    return spark.read.parquet(path).select("source_id", "after")
+
+
+@query(
+    "a7_upsert_new_fields",
+    f"""SELECT s.id, CASE WHEN c.id IS NULL THEN s.court WHEN c.doc_id % 3 <> 0 THEN s.court END AS court, c.doc_id % 7 AS score,
+      s.doc_id % 2 AS kept, CASE WHEN c.id IS NULL THEN 1 ELSE 2 END AS inner_value
+    FROM ({STORE}) s LEFT JOIN (SELECT * FROM ({STORE}) WHERE review_status = 'edited') c ON s.id = c.id""",
+)
+def a7_new(spark, sf_dir):
+    """A field that the store lacks, explicit nulls, and maps inside maps."""
+    deep = lambda name, v: F.create_map(F.lit("m"), F.create_map(F.lit(name), v.cast("long")))
+    s = store(spark, sf_dir)
+    old = s.withColumn("data", F.create_map(F.lit("m"), F.create_map(F.lit("kept"), F.col("doc_id") % 2, F.lit("both"), F.lit(1).cast("long"))))
+    changes = s.where("review_status = 'edited'").select(
+        "id", (F.col("doc_id") % 7).alias("score"), deep("both", F.lit(2)).alias("data"),
+        F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("court"))).alias("set_null"),
+    )
+    out = S.upsert_documents(old, changes, merge=True)
+    return out.select("id", "court", "score", F.col("data")["m"]["kept"].alias("kept"), F.col("data")["m"]["both"].alias("inner_value"))
+
+
 @query(
     "a11_server_timestamps",
     "SELECT event_id, CASE WHEN event_type = 'view' THEN '2024-01-01' ELSE event_type END AS stamp, CASE WHEN event_type = 'view' THEN '2024-01-01' ELSE event_type END AS nested FROM events",
@@ -553,6 +582,33 @@ def j6(spark, sf_dir):
     return states.join(marks, "record_id", "left").select("record_id", "review_status", F.coalesce("refused", F.lit(False)).alias("refused"))
 
 
+@query(
+    "j6_field_edits",
+    f"""WITH d AS (SELECT record_id, record_id % 4 AS k, record_id % 8 IN (0, 1) AS edited, record_id IN (SELECT l_orderkey FROM lineitem) AS acts, review_status, court FROM ({RECORDS})),
+      g AS (SELECT *, (k IN (0, 1) AND NOT edited) OR (k = 2 AND acts AND record_id % 8 = 2) AS refused FROM d)
+    SELECT record_id, CASE WHEN refused THEN review_status ELSE 'approved' END AS review_status, CASE WHEN k <> 0 THEN court WHEN edited THEN 'Edited Court' END AS court,
+      CASE WHEN refused THEN 0 WHEN edited THEN 2 ELSE 1 END AS audits FROM g""",
+)
+def j6_edits(spark, sf_dir):
+    """Edits of courts, dates and actions come with an approval: the gate judges the edited record."""
+    r, fields, acts = _gate_parts(spark, sf_dir)
+    acts = acts.withColumn("action_id", F.monotonically_increasing_id()).withColumn("manual_override", F.col("record_id") % 8 == 6)
+    at = F.to_timestamp(F.lit("2024-01-02"))
+    who = [F.lit("r1").alias("reviewer_id"), F.lit("role").alias("role"), F.lit("n").alias("notes"), at.alias("created_at")]
+    k = F.col("record_id") % 8
+    updates = r.where(k.isin(0, 1)).select(
+        "record_id", F.when(k == 0, "court").otherwise("judgment_date").alias("field"), F.when(k == 0, "Edited Court").alias("new_value"),
+        F.lit(None).cast("string").alias("new_status"), F.lit("seen").alias("reason"), F.lit(True).alias("override"), *who,
+    )
+    none = acts.where("false").select("record_id", "action_id", "category", F.lit("x").alias("reason"), *who)
+    said = r.select("record_id", F.lit("approve").alias("decision"), F.lit("r1").alias("reviewer_id"), F.lit("n").alias("notes"), at.alias("decided_at"))
+    states, new_fields, _, log, _ = R.apply_review_edits(r, fields, acts, said, updates, none)
+    courts = new_fields.where("field = 'court'").select("record_id", F.col("value").alias("edited_court"))
+    n = log.groupBy("record_id").agg(F.count("*").alias("audits"))
+    out = states.join(courts, "record_id").join(n, "record_id", "left")
+    return out.select("record_id", "review_status", F.col("edited_court").alias("court"), F.coalesce("audits", F.lit(0)).alias("audits"))
+
+
 @query(
     "e7_apply_action_updates",
     f"""SELECT record_id, action_index, CASE WHEN k = 0 THEN 'edited' ELSE 'pending_review' END AS status, CASE WHEN k = 0 AND action_index % 2 = 0 THEN 'Finance' ELSE responsible_department END AS owner FROM ({ACTION_LINES})""",
@@ -586,6 +642,19 @@ def j7(spark, sf_dir):
     return out.select("record_id", "action_count", F.coalesce(F.array_join("departments", "|"), F.lit("")).alias("departments"), "highest_priority")
 
 
+@query(
+    "j7_pending_actions",
+    f"""WITH a AS (SELECT l.*, k = 0 AS reviewed, bool_or(k = 0) OVER (PARTITION BY record_id) AS any_reviewed FROM ({ACTION_LINES}) l)
+    SELECT r.record_id, coalesce(string_agg(title, '|' ORDER BY action_index), '') AS pending_actions FROM ({RECORDS}) r
+    LEFT JOIN (SELECT * FROM a WHERE reviewed OR NOT any_reviewed) p USING (record_id) WHERE review_status <> 'pending_review' GROUP BY r.record_id""",
+)
+def j7_pending(spark, sf_dir):
+    _, _, plain = line_actions(spark, sf_dir)
+    acts = A.with_action_defaults(plain.withColumn("status", F.when(F.col("k") == 0, "approved").otherwise("pending_review")))
+    out = R.dashboard_projection(records(spark, sf_dir), acts)
+    return out.select("record_id", F.array_join("pending_actions", "|").alias("pending_actions"))
+
+
 @query(
     "j8_clean_register_owner",
     """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'Revenue Board' WHEN 1 THEN 'Registrar General' WHEN 2 THEN 'Special Land Acquisition Officer' ELSE 'Case reviewer' END AS owner FROM orders""",

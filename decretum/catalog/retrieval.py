@@ -131,7 +131,7 @@ def b12(spark, sf_dir):
 @query(
     "b12_page_requests",
     """SELECT conv_id AS record_id, CASE conv_id % 4 WHEN 0 THEN 1 WHEN 1 THEN greatest(1, n - 2) WHEN 2 THEN least(3, n) ELSE least(2, n) END AS first_page,
-      CASE conv_id % 4 WHEN 0 THEN least(2, n) WHEN 1 THEN n WHEN 2 THEN least(3, n) ELSE least(n, least(2, n) + 4) END AS last_page
+      CASE conv_id % 4 WHEN 0 THEN least(2, n) WHEN 1 THEN n WHEN 2 THEN least(3, n) ELSE n END AS last_page
     FROM (SELECT conv_id, CAST(max(turn) + 1 AS INT) AS n FROM conversations GROUP BY conv_id)""",
 )
 def b12_requests(spark, sf_dir):
@@ -149,7 +149,7 @@ def b12_requests(spark, sf_dir):
         UNION ALL SELECT record_id, n, page, 1000 + page FROM p WHERE hit
         UNION ALL SELECT DISTINCT record_id, n, unnest([n - 1, n]), unnest([10000000, 10000001]) FROM p),
       f AS (SELECT record_id, page, min(rank) AS rank FROM c WHERE page > 0 AND page <= n GROUP BY record_id, page)
-    SELECT record_id, page, row_number() OVER (PARTITION BY record_id ORDER BY rank) AS position FROM f QUALIFY position <= 6""",
+    SELECT record_id, page, row_number() OVER (PARTITION BY record_id ORDER BY rank) AS position FROM f""",
 )
 def b13(spark, sf_dir):
     p = judgment_pages(spark, sf_dir)
@@ -163,7 +163,7 @@ def b13(spark, sf_dir):
     WHERE n <= 12 OR page <= 2 OR page > n - 6 OR regexp_matches(text, '(?i)\\b(?:in\\s+the\\s+result|shall|within)\\b')""",
 )
 def b14(spark, sf_dir):
-    return R.repair_pages(judgment_pages(spark, sf_dir)).select("record_id", "page")
+    return R.repair_pages(judgment_pages(spark, sf_dir), 12).select("record_id", "page")
 
 
 # ---- search --------------------------------------------------------------------------
@@ -281,14 +281,14 @@ def i6(spark, sf_dir):
     ids = p.select("record_id").distinct()
     requests = ids.where("record_id % 2 = 0").select("record_id", F.lit(0).alias("request_no"), F.lit("last_3").alias("spec"))
     queries = ids.where("false").select("record_id", F.lit(0).alias("query_no"), F.lit("").alias("query"))
-    rows = R.context_assembly(p, queries, requests, 8)
+    rows = R.context_assembly(p, queries, requests)
     return rows.where("label <> 'reranked_evidence'").select("record_id", "page", "label")
 
 
 @query(
     "g8_dedupe_context",
     r"""SELECT source, count(*) AS kept, min(doc_id) AS first_doc FROM (SELECT source, doc_id FROM documents
-      QUALIFY row_number() OVER (PARTITION BY source, lang, substr(text, 1, 120) ORDER BY doc_id) = 1) GROUP BY source""",
+      QUALIFY row_number() OVER (PARTITION BY source, lang, text ORDER BY doc_id) = 1) GROUP BY source""",
 )
 def g8(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
@@ -326,11 +326,11 @@ def e5(spark, sf_dir):
     f"""WITH c AS (SELECT conv_id, turn, text, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS t, {_tset('text')} AS ts FROM conversations)
     SELECT a.conv_id AS record_id, a.turn AS request_id, bool_or(contains(b.t, a.t) OR contains(a.t, b.t) OR
       (len(a.ts) >= 4 AND len(b.ts) >= 4 AND len(list_intersect(a.ts, b.ts)) / len(a.ts) >= 0.55)) AS supported
-    FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = 1 GROUP BY ALL""",
+    FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn % 2 = 1 GROUP BY ALL""",
 )
 def e6(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    sources = c.where("turn = 1").select(F.col("conv_id").alias("record_id"), T.strip_ws(F.col("text")).alias("source_snippet"))
+    sources = c.where("turn % 2 = 1").select(F.col("conv_id").alias("record_id"), T.strip_ws(F.col("text")).alias("source_snippet"))
     requests = c.select(F.col("conv_id").alias("record_id"), F.col("turn").alias("request_id"), F.col("text").alias("snippet")).join(
         sources.select("record_id"), "record_id", "left_semi"
     )
@@ -341,13 +341,16 @@ def e6(spark, sf_dir):
     "c20_locate_snippet",
     f"""SELECT record_id, page, CASE WHEN kind = 0 THEN task ELSE concat('Counsel for ', rf, ' was heard at length') END AS snippet,
       CASE WHEN kind = 0 THEN position(task IN text) - 1 ELSE 0 END AS char_start, 'quad_search' AS match_strategy, 0.92 AS locator_confidence
-    FROM (SELECT l.*, concat('The ', dept, ' shall file a compliance report') AS task FROM ({J_LINES}) l) JOIN ({JUDGMENT_PAGES}) USING (record_id, page)""",
+    FROM (SELECT l.*, concat('The ', dept, ' shall file a compliance report') AS task FROM ({J_LINES}) l) JOIN ({JUDGMENT_PAGES}) USING (record_id, page)
+    UNION ALL SELECT record_id, page, CASE page WHEN 1 THEN 'IN THE HIGH COURT OF' ELSE 'No order as to costs' END,
+      CASE page WHEN 1 THEN 0 ELSE position('No order as to costs' IN text) - 1 END, 'quad_search', 0.92
+    FROM ({JUDGMENT_PAGES}) WHERE page IN (1, 99)""",
 )
 def c20(spark, sf_dir):
-    p = judgment_pages(spark, sf_dir).where("page between 2 and 98")
+    p = judgment_pages(spark, sf_dir)
     head = F.regexp_extract("text", r"^Counsel for \w was heard at length", 0)
     task = F.regexp_extract("text", r"The [A-Za-z ]+ shall file a compliance report", 0)
-    rows = R.locate_quotes(p.withColumn("snippet", F.when(task != "", task).otherwise(head)), windows=False)
+    rows = R.locate_quotes(p.withColumn("snippet", F.when(F.col("page") == 1, "IN THE HIGH COURT OF").when(F.col("page") == 99, "No order as to costs").when(task != "", task).otherwise(head)), windows=False)
     return rows.select("record_id", "page", "snippet", "char_start", "match_strategy", "locator_confidence")
 
 

@@ -160,6 +160,30 @@ def apply_reviews(records: DataFrame, decisions: DataFrame, gate: DataFrame) ->
     return states, audit, rejects
 
 
+def apply_review_edits(
+    records: DataFrame, fields: DataFrame, actions: DataFrame, decisions: DataFrame, field_updates: DataFrame, action_updates: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Decisions with their edits: new states, fields, actions, audit rows, and refused decisions.
+
+    Edits are applied first and the approval gate judges the edited record; the
+    edits of a refused decision are neither kept nor audited.
+    """
+    new_fields, field_audit = apply_field_updates(fields, field_updates)
+    new_actions, action_audit = apply_action_updates(actions, action_updates)
+    states, audit, rejects = apply_reviews(records, decisions, validate_approval(records, new_fields, new_actions))
+    refused = rejects.select("record_id").distinct()
+
+    def kept(after: DataFrame, before: DataFrame) -> DataFrame:
+        old = before.join(refused, "record_id", "left_semi")
+        return after.join(refused, "record_id", "left_anti").unionByName(old, allowMissingColumns=True)
+
+    def text(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({c: F.col(c).cast("string") for c in ("before", "after", "target_id", "reason", "role")})
+
+    edits = text(field_audit).unionByName(text(action_audit)).join(refused, "record_id", "left_anti")
+    return states, kept(new_fields, fields), kept(new_actions, actions), text(audit).unionByName(edits), rejects
+
+
 def resolve_duplicates(records: DataFrame, resolutions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records with their duplicate resolution attached, and the audit rows.
 
@@ -253,7 +277,7 @@ def ordered_values(rows: DataFrame, column: str, order: str = "action_index") ->
 def dashboard_projection(records: DataFrame, actions: DataFrame) -> DataFrame:
     """One summary row per published record.
 
-    Lists hold distinct values. The register itself stays a long table
+    Lists hold distinct values; ``pending_actions`` holds every title in order. The register itself stays a long table
     (``dashboard_rows``), so no record is gathered into one value.
     """
     rows = dashboard_rows(records, actions)
@@ -262,7 +286,10 @@ def dashboard_projection(records: DataFrame, actions: DataFrame) -> DataFrame:
         F.count("*").alias("action_count"),
         F.max(F.struct(rank.alias("r"), F.when(rank > 0, F.col("priority")).otherwise(F.lit("low")).alias("p"))).alias("top"),
     )
-    out = records.where(F.col("review_status").isin(*P.PUBLISHED_STATUSES)).join(sums, "record_id", "left")
+    titles = F.transform(F.array_sort(F.collect_list(F.struct("action_index", "title"))), lambda t: t["title"])
+    pending = rows.groupBy("record_id").agg(titles.alias("pending_actions"))
+    out = records.where(F.col("review_status").isin(*P.PUBLISHED_STATUSES)).join(sums, "record_id", "left").join(pending, "record_id", "left")
+    out = out.withColumn("pending_actions", F.coalesce("pending_actions", F.array().cast("array<string>")))
     for column in ("department", "category", "deadline", "escalation"):
         out = out.join(ordered_values(rows, column), "record_id", "left")
     return out.withColumns(

@@ -71,20 +71,35 @@ def latest_first(df: DataFrame, *tie: str) -> DataFrame:
 
 
 def _merged(old: Column, new: Column, kind: T.DataType) -> Column:
-    """New leaf where given, else the old one; structs and maps merge member by member."""
+    """New leaf where given, else the old one; structs and maps merge member by member, also inside maps."""
     if isinstance(kind, T.StructType):
         fields = [_merged(old[f.name], new[f.name], f.dataType).alias(f.name) for f in kind.fields]
         return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(F.struct(*fields))
     if isinstance(kind, T.MapType):
-        kept = F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k))
-        return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(F.map_concat(kept, new))
+        def member(key: Column, a: Column, b: Column) -> Column:
+            return F.when(F.map_contains_key(new, key), F.when(b.isNull(), b).otherwise(_merged(a, b, kind.valueType))).otherwise(a)
+
+        return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(F.map_zip_with(old, new, member))
     return F.coalesce(new, old)
 
 
+#: Column of ``changes`` with the names of the fields that a merge sets to null.
+SET_NULL = "set_null"
+
+
 def upsert_documents(store: DataFrame, changes: DataFrame, *, merge: bool = False, keys: Sequence[str] = ("id",)) -> DataFrame:
-    """New snapshot of the store: changed rows replaced, or merged deeply, others kept."""
+    """New snapshot of the store: changed rows replaced, or merged deeply, others kept.
+
+    Fields that only the changes have are added to the store. A merge keeps the old
+    value where the new one is null, except for fields named in ``set_null`` and
+    for map members given as null.
+    """
+    added = [f for f in changes.schema.fields if f.name not in store.columns and f.name not in (*keys, SET_NULL)]
+    store = store.withColumns({f.name: F.lit(None).cast(f.dataType) for f in added}) if added else store
     columns = [c for c in store.columns if c not in keys]
-    renamed = changes.select(*keys, F.lit(True).alias("_changed"), *[F.col(c).alias(f"_n_{c}") for c in columns if c in changes.columns])
+    given = [c for c in columns if c in changes.columns]
+    nulls = F.col(SET_NULL) if SET_NULL in changes.columns else F.lit(None).cast("array<string>")
+    renamed = changes.select(*keys, F.lit(True).alias("_changed"), nulls.alias("_nulls"), *[F.col(c).alias(f"_n_{c}") for c in given])
     both = store.withColumn("_old", F.lit(True)).join(renamed, list(keys), "full")
     out = []
     for field in store.schema.fields:
@@ -95,6 +110,7 @@ def upsert_documents(store: DataFrame, changes: DataFrame, *, merge: bool = Fals
         new = F.col(f"_n_{field.name}") if has_new else F.lit(None).cast(field.dataType)
         if merge:
             value = _merged(old, new, field.dataType) if has_new else old
+            value = F.when(~F.coalesce(F.array_contains("_nulls", field.name), F.lit(False)), value)
         else:
             value = F.when(F.col("_changed"), new).otherwise(old)
         out.append(value.alias(field.name))
@@ -129,7 +145,12 @@ def append_audit(audit: DataFrame | None, events: DataFrame) -> DataFrame:
 
 
 def write_audit(events: DataFrame, path: str) -> None:
-    keyed = events.withColumn("event_id", event_id([c for c in events.columns if c != "event_id"]))
+    """Append events to the audit table at ``path``; those that it holds already are left out, so a repeated write adds nothing."""
+    spark = events.sparkSession
+    keyed = append_audit(None, events)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        keyed = keyed.join(spark.read.parquet(path).select("event_id"), "event_id", "left_anti")
     keyed.write.mode("append").parquet(path)
 
 
