@@ -21,7 +21,7 @@ GRAM = 128
 SHARD_BYTES, GROUP = 1 << 21, 4096
 
 SEGMENTS = "k long, th long, fp long, content long, a int, b int, repeats boolean"
-SPANS = "fp long, content long, spans array<struct<a:int,b:int>>, bytes binary"
+SPANS = "fp long, content long, spans array<struct<a:int,b:int>>"
 
 
 def merged(starts: np.ndarray, width: int) -> list[dict[str, int]]:
@@ -87,43 +87,33 @@ def corpus_segments(texts: DataFrame, window: int) -> DataFrame:
 
 
 def _sorted_spans(contents: DataFrame, window: int) -> DataFrame:
-    """Ranges of repeated windows in each content of ``fp, content, bytes``; contents of larger groups come back with their bytes."""
-    dealt = contents.repartition(partitions(contents.sparkSession), "fp").sortWithinPartitions("fp", "content")
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        spans = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        kinds = (pa.int64(), pa.int64(), spans, pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["fp", "content", "spans", "bytes"])
+    """Ranges of repeated windows in each content of ``fp, content, bytes``; a digest has ``GROUP`` contents at most."""
+    dealt = contents.select("fp", "content", "bytes").repartition(partitions(contents.sparkSession), "fp").sortWithinPartitions("fp", "content")
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         spans = shard_spans([r[2] for r in rows], window) if rows else []
-        return batch_of([(fp, content, s, None) for (fp, content, _), s in zip(rows, spans, strict=True) if s])
+        found = [(fp, content, s) for (fp, content, _), s in zip(rows, spans, strict=True) if s]
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], ["fp", "content", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, size, group, last, large = [], 0, [], None, False
+        shard, size = [], 0
         for batch in batches:
-            for fp, content, data in zip(*[batch.column(n).to_pylist() for n in ("fp", "content", "bytes")], strict=True):
-                if fp != last:
-                    shard += group
-                    group, last, large = [], fp, False
-                    if size >= SHARD_BYTES:
-                        yield solve(shard)
-                        shard, size = [], 0
-                if group and group[-1][1] == content:
+            for row in zip(*[batch.column(n).to_pylist() for n in ("fp", "content", "bytes")], strict=True):
+                if shard and shard[-1][:2] == row[:2]:
                     continue  # a repeated row brings its contents again
-                group.append((fp, content, data))
-                size += len(data)
-                if large or len(group) > GROUP:
-                    size -= sum(len(g[2]) for g in group)
-                    yield batch_of([(f, c, None, d) for f, c, d in group])
-                    group, large = [], True
-        yield solve(shard + group)
+                if size >= SHARD_BYTES and row[0] != shard[-1][0]:
+                    yield solve(shard)
+                    shard, size = [], 0
+                shard.append(row)
+                size += len(row[2])
+        yield solve(shard)
 
     return settle(dealt.mapInArrow(run, SPANS))
 
 
 def _window_spans(large: DataFrame, window: int) -> DataFrame:
-    """The same for groups too large for one suffix array: digests of their windows are counted over the cluster."""
+    """The same for digests with more contents than one suffix array takes: digests of their windows are counted over the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +169,9 @@ def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
     told = settle(found.join(same, ["fp", "content"]).withColumn("cut", F.col("sort") & (place == F.col("first"))).drop("first", "sort"))
 
     # all texts meet their segments: those without any are done, the others bring the contents to be sorted
-    lists = told.groupBy("k", "th").agg(F.collect_set(F.when(F.col("cut"), F.struct("fp", "content", "a", "b"))).alias("cuts"))
+    large = told.where("cut").groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("fp", F.lit(True).alias("large"))
+    wanted = F.struct("fp", "content", "a", "b", F.coalesce("large", F.lit(False)).alias("large"))
+    lists = told.join(large, "fp", "left").groupBy("k", "th").agg(F.collect_set(F.when(F.col("cut"), wanted)).alias("cuts"))
     touched = F.col("cuts").isNotNull()
     met = settle(
         texts.join(lists, ["k", "th"], "left").select(
@@ -188,8 +180,8 @@ def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
         )
     )
     cuts = met.where("size(cuts) > 0").select("raw", F.explode("cuts").alias("c"))
-    sorted_ = _sorted_spans(cuts.select("c.fp", "c.content", F.expr(f"substring(raw, c.a + 1, c.b - c.a + {window})").alias("bytes")), window)
-    spans = sorted_.where("bytes IS NULL").select("fp", "content", "spans").union(_window_spans(sorted_.where("bytes IS NOT NULL"), window))
+    contents = cuts.select("c.fp", "c.content", "c.large", F.expr(f"substring(raw, c.a + 1, c.b - c.a + {window})").alias("bytes"))
+    spans = _sorted_spans(contents.where("NOT large"), window).union(_window_spans(contents.where("large"), window))
 
     whole = told.where("n > 1").select("k", "th", F.col("a").alias("x"), (F.col("b") + window).alias("y"))
     part = told.where("n = 1").join(spans, ["fp", "content"]).select("k", "th", "a", F.explode("spans").alias("s"))
