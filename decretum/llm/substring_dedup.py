@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decretum.llm.common import partitions, settle
+from decretum.llm.common import bounded_broadcast, partitions, settle
 from decretum.llm.suffixes import permuted_common_prefixes, suffix_array
 from decretum.llm.winnow import segments
 
@@ -19,6 +19,8 @@ from decretum.llm.winnow import segments
 GRAM = 128
 #: Bytes of a suffix array at least, and contents of one digest that go into it; larger groups are split by window.
 SHARD_BYTES, GROUP = 1 << 21, 4096
+#: Digests above ``GROUP`` that may be broadcast; beyond that the join shuffles.
+LARGE_DIGESTS = 100_000
 
 SEGMENTS = "k long, th long, fp long, content long, a int, b int, repeats boolean"
 SPANS = "fp long, content long, spans array<struct<a:int,b:int>>"
@@ -170,6 +172,7 @@ def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
 
     # all texts meet their segments: those without any are done, the others bring the contents to be sorted
     large = told.where("cut").groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("fp", F.lit(True).alias("large"))
+    large = bounded_broadcast(settle(large), LARGE_DIGESTS)
     wanted = F.struct("fp", "content", "a", "b", F.coalesce("large", F.lit(False)).alias("large"))
     lists = told.join(large, "fp", "left").groupBy("k", "th").agg(F.collect_set(F.when(F.col("cut"), wanted)).alias("cuts"))
     touched = F.col("cuts").isNotNull()
