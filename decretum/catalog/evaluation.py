@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from decretum.catalog.extraction import J_BASE, J_TASKS
-from decretum.catalog.fixtures import judgment_pages, sql_table
+from decretum.catalog.fixtures import JUDGMENT_PAGES, judgment_pages, sql_table
 from decretum.catalog.records import AUDIT, RECORDS, audit, read, records
 from decretum.functions import text as T
 from decretum.operators import evaluation as V
@@ -324,11 +324,12 @@ def b16(spark, sf_dir):
 
 @query(
     "b17_source_direction_filters",
-    f"SELECT record_id, page, kind <> 3 AS valid, false AS heading FROM ({J_TASKS})",
+    f"""SELECT record_id, page, kind <> 3 AS valid, false AS heading FROM ({J_TASKS})
+    UNION ALL SELECT record_id, page, false, page = 1 FROM ({JUDGMENT_PAGES}) WHERE page IN (1, 99)""",
 )
 def b17(spark, sf_dir):
-    p = judgment_pages(spark, sf_dir).where("page between 2 and 98")
-    said = F.regexp_extract("text", r"record\. (.*)$", 1)
+    p = judgment_pages(spark, sf_dir)
+    said = F.when(F.col("page") == 1, "Order").otherwise(F.regexp_extract("text", r"record\. (.*)$", 1))
     return p.select("record_id", "page", U.valid_direction(said).alias("valid"), U.heading_only(said).alias("heading"))
 
 
