@@ -185,8 +185,7 @@ def h5(spark, sf_dir):
 
 @query(
     "h6_specify_high_court",
-    f"""SELECT record_id, concat('High Court of ', place, CASE v WHEN 1 THEN concat('|High Court of ', place, ' Slp No')
-      WHEN 4 THEN concat('|High Court of ', place, ' Writ Petition No') ELSE '' END) AS named_courts
+    f"""SELECT record_id, concat('High Court of ', place) AS named_courts
     FROM ({COURT_BASE}) WHERE v IN (1, 3, 4)""",
 )
 def h6(spark, sf_dir):

@@ -336,14 +336,19 @@ def b17(spark, sf_dir):
 @query(
     "b11_needs_fallback",
     """WITH c AS (SELECT conv_id AS record_id, count(*) FILTER (length(trim(text)) < 80) AS sp FROM conversations GROUP BY conv_id)
-    SELECT record_id, true AS needs_fallback, CASE WHEN sp > 0 THEN 'sparse_pages' ELSE 'weak_fields' END AS why FROM c""",
+    SELECT record_id, sp > 0 OR record_id % 2 = 1 AS needs_fallback, CASE WHEN sp > 0 THEN 'sparse_pages' WHEN record_id % 2 = 1 THEN 'weak_fields' END AS why FROM c""",
 )
 def b11(spark, sf_dir):
     p = conversation_pages(read(spark, sf_dir, "conversations"))
     chars = F.length(F.trim("text"))
     prof = p.groupBy("record_id").agg(F.lit("digital").alias("profile_type"), F.count_if(chars < 80).alias("sparse_count"))
-    none = p.select("record_id", F.lit("bench").alias("field"), F.lit("").alias("value"), F.lit(0.0).alias("confidence"), F.lit(False).alias("requires_review"))
-    return U.needs_fallback(p, none, prof, Q.is_law_report(p))
+    strong = F.col("record_id") % 2 == 0
+    said = {"parties": "Asha Rao; Dev Sen", "petitioners": "Asha Rao", "respondents": "Dev Sen", "bench": "Justice Tara Sen", "judgment_date": "2001-02-03"}
+    body = F.array(*[F.struct(F.lit(n).alias("field"), F.when(strong, v).otherwise("").alias("value")) for n, v in said.items()])
+    fields = p.select("record_id").distinct().select("record_id", F.explode(body).alias("f")).select(
+        "record_id", "f.*", F.lit(0.9).alias("confidence"), F.lit(False).alias("requires_review")
+    )
+    return U.needs_fallback(p, fields, prof, Q.is_law_report(p))
 
 
 @query(

@@ -144,7 +144,7 @@ def c6(spark, sf_dir):
     f"""{_PARTY_OUT} FROM (SELECT record_id,
       CASE WHEN v = 2 THEN 'Ram Lal' ELSE cn END AS petitioners,
       CASE v WHEN 0 THEN concat('State of ', place) WHEN 1 THEN concat('Union Territory of ', place)
-        WHEN 2 THEN concat('State Of ', place) WHEN 3 THEN 'Municipal Board' ELSE 'Collect' END AS respondents
+        WHEN 2 THEN concat('State Of ', place) WHEN 3 THEN 'Municipal Board' ELSE 'Collector' END AS respondents
       FROM ({COURT_BASE}) WHERE v < 5)""",
 )
 def c6_layouts(spark, sf_dir):
@@ -167,7 +167,7 @@ def c7(spark, sf_dir):
 @query(
     "c8_departments",
     f"""WITH hits AS (SELECT record_id, 1 AS page, 1 AS pos, concat('High Court of ', place) AS dept FROM ({J_BASE})
-      UNION ALL SELECT record_id, 1, 2, 'State of Kerala and' FROM ({J_BASE})
+      UNION ALL SELECT record_id, 1, 2, 'State of Kerala' FROM ({J_BASE})
       UNION ALL SELECT record_id, 1, 3, 'BBMP' FROM ({J_BASE})
       UNION ALL SELECT record_id, page, 1, dept FROM ({J_LINES})),
     firsts AS (SELECT record_id, dept, min(page * 10 + pos) AS first_at FROM hits GROUP BY record_id, dept)

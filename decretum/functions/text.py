@@ -255,7 +255,7 @@ def _department_name(value: Column) -> Column:
     court = extract(value, r"\bHigh\s+Court\s+of\s+[^).,;:]+", 0)
     court_name = strip_chars(F.get(F.split(court, rx(P.PLACE_STOP), 2), F.lit(0)), " .,:;-")
     place = capitalize_words(substitute(court_name, r"^High\s+Court\s+of\s+", ""))
-    other = strip_chars(substitute(value, P.DEPARTMENT_TAIL, ""), " .,:;-")
+    other = substitute(strip_chars(substitute(value, P.DEPARTMENT_TAIL, ""), " .,:;-"), P.TRAILING_LINK, "")
     return (
         F.when(court != "", F.when(place != "", F.concat(F.lit("High Court of "), place)).otherwise(""))
         .when(matches(value, r"\bGovernment\s+of\s+India\b"), "Government of India")
