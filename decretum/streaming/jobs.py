@@ -90,10 +90,10 @@ def _progress(key, batches, state):
     else:
         kind, stage, ms = state.get if state.exists else ("queued", 0, -1)
         for batch in batches:
-            for k, s, t in zip(batch["state"], batch["stage_index"], batch["ts"]):
-                at = int(pd.Timestamp(t).value // 1_000_000)
-                if at >= ms:
-                    kind, stage, ms = k, int(s), at
+            last = batch.loc[batch.sort_values(["ts", "stage_index"]).index[-1]] if len(batch) else None
+            at = -1 if last is None else int(pd.Timestamp(last["ts"]).value // 1_000_000)
+            if last is not None and at >= ms:
+                kind, stage, ms = last["state"], int(last["stage_index"]), at
         state.update((kind, stage, ms))
         state.setTimeoutTimestamp(max(ms + EXPIRY_MS, state.getCurrentWatermarkMs() + 1))
         rows = [(key[0], kind, stage, pd.Timestamp(ms, unit="ms"), False)]
