@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from decretum.llm.byte_net import quality_scores, train_quality_net
 from decretum.llm.exact_dedup import exact_dedup
+from decretum.llm.filter_audit import filter_audit
 from decretum.llm.line_dedup import line_dedup
 from decretum.llm.mixing import LEVELS, mix
 from decretum.llm.packing import pack
@@ -88,6 +89,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 EXACT_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -172,5 +177,34 @@ WITH {mix_sql("documents")}
 SELECT doc_id, mix_domain AS domain, mix_lang AS lang, mix_source AS source, tokens AS n_tokens, copies FROM mixed
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_quality_classifier, op4_exact_dedup, op5_warc, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_line_dedup, op9_mixing, op10_toxicity)}
-ORACLES = {"op4_exact_dedup": EXACT_SQL, "op5_warc": WARC_SQL, "op8_line_dedup": LINE_SQL, "op9_mixing": MIX_SQL}
+AUDIT_SQL = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+fails AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+  + 4 * CAST(100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(t) AS INT)
+  + 8 * CAST(length(translate(t, '#$%&*|', '')) < length(t) AS INT)
+  + 16 * CAST(coalesce(texts.doc_id > min(texts.doc_id) OVER (PARTITION BY t), FALSE) AS INT) AS mask
+  FROM texts LEFT JOIN marks ON texts.doc_id = marks.doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+prefixes AS (SELECT '' AS prefix, '' AS letter, 0 AS step, 0 AS before, 0 AS bit
+  UNION ALL SELECT prefix || l.letter, l.letter, step + 1, before + p.bit, l.bit FROM prefixes p JOIN letters l ON NOT contains(prefix, l.letter)),
+steps AS (SELECT part, prefix, letter, step,
+  sum(CASE WHEN mask & (before + bit) = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN mask & bit != 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & bit != 0 AND mask & before != 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & bit != 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN mask & bit != 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cells CROSS JOIN prefixes WHERE step > 0 GROUP BY part, prefix, letter, step),
+found AS (SELECT o.part, o.prefix AS filter_order, s.* EXCLUDE (part, prefix) FROM steps o
+  JOIN steps s ON o.part = s.part AND starts_with(o.prefix, s.prefix) WHERE o.step = 5)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM found
+"""
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_quality_classifier, op4_exact_dedup, op5_warc, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_line_dedup, op9_mixing, op10_toxicity, op11_filter_interaction_audit)}
+ORACLES = {"op4_exact_dedup": EXACT_SQL, "op5_warc": WARC_SQL, "op8_line_dedup": LINE_SQL, "op9_mixing": MIX_SQL, "op11_filter_interaction_audit": AUDIT_SQL}
