@@ -11,6 +11,7 @@ from decretum.llm.filter_audit import filter_audit
 from decretum.llm.line_dedup import line_dedup
 from decretum.llm.mixing import LEVELS, mix
 from decretum.llm.packing import pack
+from decretum.llm.passage_dedup import remove_passages
 from decretum.llm.quality_rules import COUNTS, apply_rules, train_rules
 from decretum.llm.simhash import simhash_components
 from decretum.llm.substring_dedup import remove_repeats
@@ -93,6 +94,10 @@ def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_passages(table(spark, sf_dir, "documents"))
+
+
 EXACT_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -206,5 +211,5 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
   CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM found
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_quality_classifier, op4_exact_dedup, op5_warc, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_line_dedup, op9_mixing, op10_toxicity, op11_filter_interaction_audit)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_quality_classifier, op4_exact_dedup, op5_warc, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_line_dedup, op9_mixing, op10_toxicity, op11_filter_interaction_audit, op12_substring_dedup)}
 ORACLES = {"op4_exact_dedup": EXACT_SQL, "op5_warc": WARC_SQL, "op8_line_dedup": LINE_SQL, "op9_mixing": MIX_SQL, "op11_filter_interaction_audit": AUDIT_SQL}
