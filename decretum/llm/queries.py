@@ -15,6 +15,7 @@ from decretum.llm.passage_dedup import remove_passages
 from decretum.llm.quality_rules import COUNTS, apply_rules, train_rules
 from decretum.llm.simhash import simhash_components
 from decretum.llm.substring_dedup import remove_repeats
+from decretum.llm.token_alignment import align_tokenizers
 from decretum.llm.toxicity import toxicity_scores, train_toxicity
 from decretum.llm.warc import read_bundles, warc_folder, write_bundles
 
@@ -31,10 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +99,10 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_passages(table(spark, sf_dir, "documents"))
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 EXACT_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -211,5 +216,5 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
   CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM found
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_quality_classifier, op4_exact_dedup, op5_warc, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_line_dedup, op9_mixing, op10_toxicity, op11_filter_interaction_audit, op12_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_quality_classifier, op4_exact_dedup, op5_warc, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_line_dedup, op9_mixing, op10_toxicity, op11_filter_interaction_audit, op12_substring_dedup, op13_cross_tokenizer_alignment)}
 ORACLES = {"op4_exact_dedup": EXACT_SQL, "op5_warc": WARC_SQL, "op8_line_dedup": LINE_SQL, "op9_mixing": MIX_SQL, "op11_filter_interaction_audit": AUDIT_SQL}

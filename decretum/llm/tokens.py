@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import regex
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 #: Fixed value: the pattern by which the vocabulary's texts are split before merges.
@@ -32,11 +33,17 @@ class _Kept(dict):
 
 
 class ByteEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
 
-    def __init__(self, path: str, limit: int = 400_000):
+    The strings of added tokens give those tokens, as the tokenizer's file says; with ``plain`` they are text like any other.
+    """
+
+    def __init__(self, path: str, limit: int = 400_000, plain: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = {} if plain else self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        self.between = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.model = self.tokenizer.model
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
@@ -63,6 +70,11 @@ class ByteEncoder:
         return self._unit(" " + piece)
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return b"".join([self.added.get(part) or self._text(part) for part in self.between.split(text)])
+        return self._text(text)
+
+    def _text(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if first and not first[-1].isspace():
             found = [self.units[p] for p in rest]
@@ -72,7 +84,33 @@ class ByteEncoder:
         return self._unit(first) + b"".join([self._unit(" " + p) for p in rest])
 
 
-@lru_cache(maxsize=2)
-def byte_encoder(path: str) -> ByteEncoder:
+class PieceEncoder:
+    """Ids of whole texts by a piece model, as little-endian unsigned 32-bit bytes, equal to the model's own.
+
+    The model puts a space before a text. No piece has a space after another character, so a single
+    space between two others always starts a piece and what stands between such spaces is encoded alone.
+    """
+
+    def __init__(self, path: str, limit: int = 400_000):
+        self.model = SentencePieceProcessor(model_file=path)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.alone = not any(re.search("[^\u2581]\u2581", p) for p in pieces)
+        self.units = _Kept(self._unit, limit)
+
+    def _unit(self, unit: str) -> bytes:
+        return np.array(self.model.encode(unit), "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        return b"".join([self.units[u] for u in CUT.split(text)]) if self.alone and text else self._unit(text)
+
+
+@lru_cache(maxsize=4)
+def byte_encoder(path: str, plain: bool = False) -> ByteEncoder:
     """One encoder per worker process; its memory goes on from task to task."""
-    return ByteEncoder(path)
+    return ByteEncoder(path, plain=plain)
+
+
+@lru_cache(maxsize=2)
+def piece_encoder(path: str) -> PieceEncoder:
+    """One encoder per worker process, as ``byte_encoder``."""
+    return PieceEncoder(path)
