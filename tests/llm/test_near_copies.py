@@ -45,10 +45,9 @@ def planted():
     return [" ".join(t) for t in out] + ["", " ", "a b", "A  b", "a b c d e", "a b c d e f"]
 
 
-@pytest.mark.parametrize("small,frequent", [(32, 200_000), (2, 3)])
-def test_near_dedup_finds_all_pairs_at_the_similarity(spark, monkeypatch, small, frequent):
+@pytest.mark.parametrize("small", [32, 2])
+def test_near_dedup_finds_all_pairs_at_the_similarity(spark, monkeypatch, small):
     monkeypatch.setattr(near_copies, "SMALL", small)
-    monkeypatch.setattr(near_copies, "FREQUENT", frequent)
     texts = planted()
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == brute_kept(texts)

@@ -57,21 +57,6 @@ def test_stages_on_a_small_corpus(spark, con):
     want = con.execute(f"WITH {queries.line_sql('kept')} SELECT doc_id, array_to_string(kept, chr(10)) FROM lined").fetchall()
     assert dict(want) == {r.doc_id: r.text for r in cut.collect()}
 
-    alone = settle(corpus_pipeline.near_dedup(spark, cut, SF))
-    rows = sorted((r.doc_id, r.text) for r in cut.collect())
-    comps = brute_components([brute_fingerprint(t, corpus_pipeline.SHINGLE) for _, t in rows])
-    assert sorted(r.doc_id for r in alone.collect()) == [rows[i][0] for i in sorted({comps.index(c) for c in set(comps)})]
-
-    mixed = settle(corpus_pipeline.mixture(spark, alone, SF))
-    con.register("alone", alone.toPandas())
-    want = con.execute(f"WITH {queries.mix_sql('alone')} SELECT doc_id, copies FROM mixed WHERE copies > 0").fetchall()
-    assert dict(want) == dict(collections.Counter(r.doc_id for r in mixed.collect()))
-
-    packed = corpus_pipeline.packing(spark, mixed, SF)
-    lengths = packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n"), F.count("*"), F.sum("n")).first()
-    assert lengths[0] <= 1024 and lengths[2] > 1024 * (lengths[1] - 2) * 0.9
-    assert packed.where("piece = 0").count() == mixed.count()
-
 
 def test_classifiers_on_held_out_labels(spark):
     """Both classifiers against labels that they have not seen."""
