@@ -378,8 +378,24 @@ def e1_of(spark, sf_dir):
     return D.duplicates_of(r, r.where("review_status = 'edited'")).select("user_id", "record_id", "duplicate_id")
 
 
+# the same records with case numbers of several kinds and a file name of their own each
+NEAR_RECORDS = f"""
+SELECT record_id, user_id, content, court, judgment_date, review_status,
+  concat(CASE owner_id % 5 WHEN 0 THEN 'Writ Petition No. ' WHEN 1 THEN 'Criminal Appeal (SJ) No. ' WHEN 2 THEN 'Special Leave Petition (Civil) Diary No. '
+    WHEN 3 THEN 'OS ' ELSE 'Company Petition (IB) ' END, CAST(record_id AS VARCHAR(20)), CASE owner_id % 2 WHEN 0 THEN ' of ' ELSE '/' END,
+    CAST(year(judgment_date) AS VARCHAR(20))) AS case_number,
+  concat(CASE record_id % 6 WHEN 0 THEN 'order' WHEN 1 THEN 'scan of the final judgment' WHEN 2 THEN 'wp' WHEN 3 THEN 'certified copy' WHEN 4 THEN 'annexure and translated order' ELSE 'x' END,
+    '-', CAST(record_id AS VARCHAR(20)), '.pdf') AS original_file_name
+FROM ({RECORDS})
+"""
+
+
+def near_records(spark, sf_dir):
+    return sql_table(spark, sf_dir, NEAR_RECORDS).withColumn("document_hash", F.sha2("content", 256))
+
+
 # records of the newest month come in; the store is everything
-_NEAR = f"""WITH r AS (SELECT * FROM ({RECORDS})),
+_NEAR = f"""WITH r AS (SELECT * FROM ({NEAR_RECORDS})),
   c AS (SELECT * FROM r WHERE date_trunc('month', judgment_date) = (SELECT max(date_trunc('month', judgment_date)) FROM r)),
   p AS (SELECT a.record_id, b.record_id AS other, a.content = b.content AS same_hash, 1 - levenshtein(lower(a.case_number), lower(b.case_number)) / greatest(length(a.case_number), length(b.case_number)) AS cs,
     CASE WHEN a.content = b.content THEN 1.0 ELSE (1 - levenshtein(lower(a.case_number), lower(b.case_number)) / greatest(length(a.case_number), length(b.case_number))) * 0.45
@@ -393,7 +409,7 @@ SELECT record_id, other AS duplicate_group, 1 AS copies, round_even(score, 2) AS
 
 @query("e3_near_duplicates", _NEAR)
 def e3(spark, sf_dir):
-    r = records(spark, sf_dir)
+    r = near_records(spark, sf_dir)
     month = F.trunc("judgment_date", "month")
     newest = r.agg(F.max(month).alias("newest"))
     batch = r.withColumn("newest", month).join(newest, "newest").drop("newest")
