@@ -358,9 +358,10 @@ def c20(spark, sf_dir):
     "c20_token_windows",
     f"""WITH q AS (SELECT p.record_id, p.page, dept LIKE '% % %' AS head, regexp_extract_all(lower(text), '[a-z0-9]+') AS w,
         regexp_extract_all(lower(concat('the ', dept, ' must then shall quickly file on a')), '[a-z0-9]+') AS g FROM ({JUDGMENT_PAGES}) p JOIN ({J_LINES}) USING (record_id, page)),
-      s AS (SELECT list_max(list_transform(range(greatest(len(w) - len(g), 0) + 1), lambda i:
-        0.68 * len(list_intersect(list_distinct(w[i + 1 : i + len(g)]), g)) / len(list_distinct(g))
-        + 0.32 * (1 - levenshtein(array_to_string(w[i + 1 : i + len(g)], ' '), array_to_string(g, ' ')) / greatest(length(array_to_string(w[i + 1 : i + len(g)], ' ')), length(array_to_string(g, ' ')))))) AS score, head FROM q)
+      z AS (SELECT *, least(greatest(len(g) + 5, 8), 36) AS hi, least(greatest(len(g) - 5, 4), hi) AS lo FROM q),
+      s AS (SELECT list_max(list_transform(flatten(list_transform(range(len(w)), lambda i: list_transform(range(lo, least(hi, len(w) - i) + 1), lambda m: [i, m]))), lambda x:
+        0.68 * len(list_intersect(list_distinct(w[x[1] + 1 : x[1] + x[2]]), g)) / len(list_distinct(g))
+        + 0.32 * (1 - levenshtein(array_to_string(w[x[1] + 1 : x[1] + x[2]], ' '), array_to_string(g, ' ')) / greatest(length(array_to_string(w[x[1] + 1 : x[1] + x[2]], ' ')), length(array_to_string(g, ' ')))))) AS score, head FROM z)
     SELECT CASE WHEN head THEN 'quad_search' WHEN score >= 0.58 THEN 'word_window_fuzzy' ELSE 'unmatched' END AS match_strategy, count(*) AS quotes,
       max(CASE WHEN head THEN 0.92 WHEN score >= 0.58 THEN round_even(least(0.88, greatest(0.62, score)), 2) ELSE 0.35 END) AS best FROM s GROUP BY 1""",
 )
