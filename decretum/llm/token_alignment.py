@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,24 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decretum.llm.common import settle
-from decretum.llm.tokens import CUT, byte_encoder, piece_encoder
+from decretum.llm.tokens import CUT, both_encoder
 
 #: Characters of texts that are aligned at once; longer texts are aligned in parts, cut where both tokenizers must cut.
-PART = 1 << 19
-SPACE = "▁"
-BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
+PART = 1 << 18
+SPACE = "\u2581"
 
 
 @lru_cache(maxsize=2)
 def token_bytes(path_a: str, path_b: str) -> tuple[pa.Array, pa.Array]:
     """The bytes of every token id of either tokenizer."""
-    first, second = byte_encoder(path_a, plain=True), piece_encoder(path_b)
-    back = {chr(shown): b for b, shown in first.letters.items()}
-    entries = [first.tokenizer.id_to_token(i) or "" for i in range(first.tokenizer.get_vocab_size())]
-    a = [bytes(back[c] for c in e) if all(c in back for c in e) else e.encode() for e in entries]
-    pieces = [second.model.id_to_piece(i) for i in range(second.model.get_piece_size())]
-    b = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace(SPACE, " ").encode() for p in pieces]
-    return pa.array(a, pa.binary()), pa.array(b, pa.binary())
+    encoder = both_encoder(path_a, path_b)
+    return pa.array(encoder.bytes_a, pa.binary()), pa.array(encoder.bytes_b, pa.binary())
 
 
 def possible_pairs(path_a: str, path_b: str) -> int:
@@ -45,10 +39,10 @@ def possible_pairs(path_a: str, path_b: str) -> int:
     return longer_a + sum(count["a"].get(t[i:], 0) for t in b for i in range(1, len(t)))
 
 
-def _lists(ids: list[bytes]) -> pa.ListArray:
-    """Token ids of parts, given as little-endian 32-bit numbers."""
-    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
+def _lists(ids: list[list[int]]) -> pa.ListArray:
+    """Token ids of parts."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1])))
 
 
 def _spelled(tokens: pa.ListArray, spelling: pa.Array, parts: list[bytes]) -> list[bool]:
@@ -128,7 +122,7 @@ class _Document:
 def _align(texts: list[str | None], path_a: str, path_b: str, keep: bool) -> list[tuple]:
     """``n_a, n_b, groups' SHA-256, pairs, groups`` of each text."""
     spelling = token_bytes(path_a, path_b)
-    first, second = byte_encoder(path_a, plain=True), piece_encoder(path_b)
+    encoder = both_encoder(path_a, path_b)
     owner, parts = [], []
     for i, text in enumerate(texts):
         own = _parts(text)
@@ -142,8 +136,7 @@ def _align(texts: list[str | None], path_a: str, path_b: str, keep: bool) -> lis
         while to < len(parts) and (to == at or size + len(parts[to]) <= PART):
             size, to = size + len(parts[to]), to + 1
         # a text that spells the second tokenizer's sign for a space cannot come back from its pieces
-        ids = [(first.encode(" " + p), b"" if SPACE in p else second.encode(p)) for p in parts[at:to]]
-        a, b = _lists([x[0] for x in ids]), _lists([x[1] for x in ids])
+        a, b = map(_lists, encoder.encode(["" if SPACE in p else p for p in parts[at:to]]))
         raw = [b" " + p.encode() for p in parts[at:to]]
         for i, x, y in zip(owner[at:to], _spelled(a, spelling[0], raw), _spelled(b, spelling[1], raw), strict=True):
             documents[i].valid &= x and y

@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import regex
+import tiktoken
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
@@ -32,22 +33,30 @@ class _Kept(dict):
         return value
 
 
+#: A piece that stands for one byte.
+BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
+
+
+def byte_letters() -> dict[int, int]:
+    """The character that shows each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: b for b in shown}, **{b: 256 + i for i, b in enumerate(hidden)}}
+
+
 class ByteEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
 
-    The strings of added tokens give those tokens, as the tokenizer's file says; with ``plain`` they are text like any other.
+    The strings of added tokens give those tokens, as the tokenizer's file says.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, plain: bool = False):
+    def __init__(self, path: str, limit: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = plain
-        added = {} if plain else self.tokenizer.get_added_tokens_decoder()
+        added = self.tokenizer.get_added_tokens_decoder()
         self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
         self.between = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.model = self.tokenizer.model
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        self.letters = {**{b: b for b in shown}, **{b: 256 + i for i, b in enumerate(hidden)}}
+        self.letters = byte_letters()
         self.split = regex.compile(SPLIT)
         self.words = _Kept(self._word, limit)
         self.units = _Kept(self._inner, limit)
@@ -84,33 +93,35 @@ class ByteEncoder:
         return self._unit(first) + b"".join([self._unit(" " + p) for p in rest])
 
 
-class PieceEncoder:
-    """Ids of whole texts by a piece model, as little-endian unsigned 32-bit bytes, equal to the model's own.
+class BothEncoder:
+    """Ids of texts after a space by a byte-level BPE file and by a piece model, special tokens' strings as plain text.
 
-    The model puts a space before a text. No piece has a space after another character, so a single
-    space between two others always starts a piece and what stands between such spaces is encoded alone.
+    The first one's merges are in the order of their ids, which ``tiktoken`` runs on without Python's help.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
-        self.model = SentencePieceProcessor(model_file=path)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.alone = not any(re.search("[^\u2581]\u2581", p) for p in pieces)
-        self.units = _Kept(self._unit, limit)
-
-    def _unit(self, unit: str) -> bytes:
-        return np.array(self.model.encode(unit), "<u4").tobytes()
+    def __init__(self, path_a: str, path_b: str):
+        vocabulary = Tokenizer.from_file(path_a)
+        added = {t.content for t in vocabulary.get_added_tokens_decoder().values()}
+        back = {chr(shown): b for b, shown in byte_letters().items()}
+        entries = {i: e for e, i in vocabulary.get_vocab().items()}
+        self.bytes_a = [e.encode() if (e := entries.get(i, "")) in added else bytes(back[c] for c in e) for i in range(max(entries) + 1)]
+        ranks = {spelled: i for i, spelled in enumerate(self.bytes_a) if spelled and entries[i] not in added}
+        self.a = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.b = SentencePieceProcessor(model_file=path_b)
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace("\u2581", " ").encode() for p in pieces]
 
-    def encode(self, text: str) -> bytes:
-        return b"".join([self.units[u] for u in CUT.split(text)]) if self.alone and text else self._unit(text)
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        return [self.a.encode_ordinary(" " + t) for t in texts], self.b.encode(texts, num_threads=1)
 
 
-@lru_cache(maxsize=4)
-def byte_encoder(path: str, plain: bool = False) -> ByteEncoder:
-    """One encoder per worker process; its memory goes on from task to task."""
-    return ByteEncoder(path, plain=plain)
+@lru_cache(maxsize=2)
+def both_encoder(path_a: str, path_b: str) -> BothEncoder:
+    """One encoder per worker process, as ``byte_encoder``."""
+    return BothEncoder(path_a, path_b)
 
 
 @lru_cache(maxsize=2)
-def piece_encoder(path: str) -> PieceEncoder:
-    """One encoder per worker process, as ``byte_encoder``."""
-    return PieceEncoder(path)
+def byte_encoder(path: str) -> ByteEncoder:
+    """One encoder per worker process; its memory goes on from task to task."""
+    return ByteEncoder(path)
