@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from decretum.sources.tables import settle, shared_folder
 
-__all__ = ["WORD", "SPACES", "bounded_broadcast", "fold", "hot_keys", "labelled_sample", "map_arrow", "partitions", "settle", "shared_folder", "with_salt"]
+__all__ = ["WORD", "SPACES", "bounded_broadcast", "fold", "hot_keys", "labelled_sample", "map_arrow", "partitions", "settle", "shared_folder", "small_batches", "with_salt"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,6 +55,18 @@ def map_arrow(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict[
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows while results are written inside; for long rows, of which a task holds a whole batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fold(id_: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; 0 is held out of training."""
     return (F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % folds).cast("int")

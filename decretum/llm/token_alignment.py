@@ -13,11 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decretum.llm.common import settle
+from decretum.llm.common import settle, small_batches
 from decretum.llm.tokens import CUT, both_encoder
 
 #: Characters of texts that are aligned at once; longer texts are aligned in parts, cut where both tokenizers must cut.
 PART = 1 << 18
+#: Documents of an Arrow batch, which a task holds as a whole.
+BATCH_ROWS = 1000
 SPACE = "\u2581"
 
 
@@ -181,6 +183,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
                     columns.append(pa.array([r[4] for r in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "groups"][: len(columns)])
                 at = to
+            pa.default_memory_pool().release_unused()
 
     id_kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {id_kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<{kind}>"
@@ -219,8 +222,9 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
     Nulls, empty texts and texts that do not come back byte by byte have zeros and ''; repeated rows and ids are rows,
     each counts; an empty table gives an empty result; other columns are ignored.
     """
-    found = settle(aligned(docs, path_a, path_b, id_col, text_col, with_groups))
-    counts = pair_counts(found, len(token_bytes(path_a, path_b)[1])).toArrow()
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        found = settle(aligned(docs, path_a, path_b, id_col, text_col, with_groups))
+        counts = pair_counts(found, len(token_bytes(path_a, path_b)[1])).toArrow()
     if counts.num_rows > possible_pairs(path_a, path_b):
         raise AssertionError("more pairs of tokens than can end together")
     names = ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *["groups"] * with_groups]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -100,10 +101,11 @@ class BothEncoder:
     """
 
     def __init__(self, path_a: str, path_b: str):
-        vocabulary = Tokenizer.from_file(path_a)
-        added = {t.content for t in vocabulary.get_added_tokens_decoder().values()}
+        with open(path_a, encoding="utf-8") as file:
+            vocabulary = json.load(file)
+        added = {t["content"] for t in vocabulary["added_tokens"]}
         back = {chr(shown): b for b, shown in byte_letters().items()}
-        entries = {i: e for e, i in vocabulary.get_vocab().items()}
+        entries = {i: e for e, i in vocabulary["model"]["vocab"].items()} | {t["id"]: t["content"] for t in vocabulary["added_tokens"]}
         self.bytes_a = [e.encode() if (e := entries.get(i, "")) in added else bytes(back[c] for c in e) for i in range(max(entries) + 1)]
         ranks = {spelled: i for i, spelled in enumerate(self.bytes_a) if spelled and entries[i] not in added}
         self.a = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
