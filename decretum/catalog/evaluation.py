@@ -206,7 +206,7 @@ def j5(spark, sf_dir):
     acts = settle(A.directions_to_actions(directions, context))
     recs = records(spark, sf_dir).select("record_id", "original_file_name", "review_status", "overall_confidence", F.array(F.lit("x")).alias("risk_flags"))
     times = read(spark, sf_dir, "events").select(F.col("user_id").alias("record_id"), F.col("event_type").alias("stage"), F.col("value").alias("duration_ms"))
-    return V.evaluation_brief(recs, rows, directions, acts, times.join(recs.select("record_id"), "record_id", "left_semi"))
+    return V.evaluation_lines(recs, rows, directions, acts, times.join(recs.select("record_id"), "record_id", "left_semi"))
 
 
 # ---- timings -------------------------------------------------------------------------

@@ -75,12 +75,6 @@ def split_lines(text: Column) -> Column:
     return let(F.split(text, LINE_BREAK, -1), without_final_blank)
 
 
-def head_and_tail(lines: Column, n: int) -> Column:
-    """First ``n`` and last ``n`` lines joined by line feeds."""
-    tail = F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), F.lit(n))
-    return F.concat(F.array_join(F.slice(lines, 1, n), "\n"), F.lit("\n"), F.array_join(tail, "\n"))
-
-
 def ordered_distinct(items: Column) -> Column:
     """Distinct items in first-seen order."""
     return F.array_distinct(items)
@@ -346,8 +340,8 @@ def normalise_priority(value: Column) -> Column:
     return F.when(raw.isin("low", "medium", "high"), raw).otherwise("medium")
 
 
-def normalise_flag(value: Column) -> Column:
-    """One risk flag mapped to its bucket, else its slug; '' when nothing is left."""
+def normalise_flag(value: Column, chars: int | None = None) -> Column:
+    """One risk flag mapped to its bucket, else its slug, of ``chars`` characters at most where given; '' when nothing is left."""
     low = F.lower(strip_ws(F.coalesce(value, F.lit(""))))
 
     def has(*words: str) -> Column:
@@ -364,12 +358,12 @@ def normalise_flag(value: Column) -> Column:
         .when(has("timeline", "deadline", "date"), "missing_timeline")
         .when(has("condition", "if filed", "if any"), "conditional_follow_up")
         .when(has("evidence", "source"), "source_review_required")
-        .otherwise(F.substring(slug, 1, 80))
+        .otherwise(slug if chars is None else F.substring(slug, 1, chars))
     )
 
 
-def normalise_flags(values: Column) -> Column:
-    return ordered_distinct(F.filter(F.transform(values, normalise_flag), lambda f: f != ""))
+def normalise_flags(values: Column, chars: int | None = None) -> Column:
+    return ordered_distinct(F.filter(F.transform(values, lambda v: normalise_flag(v, chars)), lambda f: f != ""))
 
 
 def is_empty_text(value: Column) -> Column:

@@ -139,7 +139,7 @@ def directions_to_actions(directions: DataFrame, context: DataFrame) -> DataFram
         F.when(owner.isNotNull() & has_time, 0.8).otherwise(0.64).alias("confidence"),
         F.col("evidence").cast(f"array<{EVIDENCE_TYPE}>").alias("evidence"),
         F.when(has_time, F.array().cast("array<string>")).otherwise(F.array(F.lit("No explicit timeline found."))).alias("notes"),
-        F.substring("value", 1, 240).alias("direction_summary"),
+        F.col("value").alias("direction_summary"),
         F.when(owner.isNotNull(), "source_text").alias("owner_source"),
         flags.alias("ambiguity_flags"),
         F.coalesce(F.col("_class.escalation"), F.when(owner.isNull(), "department_officer")).alias("escalation_recommendation"),
@@ -448,7 +448,7 @@ def ensure_remand(actions: DataFrame, sentences: DataFrame) -> DataFrame:
             )
         ).alias("evidence"),
         F.array(F.lit("No explicit timeline specified by court.")).alias("notes"),
-        F.substring("text", 1, 240).alias("direction_summary"),
+        F.col("text").alias("direction_summary"),
         F.lit("remand_destination").alias("owner_source"),
         F.array(F.lit("timeline_not_specified")).alias("ambiguity_flags"),
         F.lit(None).cast("string").alias("escalation_recommendation"),

@@ -30,19 +30,18 @@ def question_topic(question: Column) -> Column:
     )
 
 
-def answer_questions(questions: DataFrame, fields: DataFrame, actions: DataFrame) -> DataFrame:
-    """Answer text and at most five sources for each question.
+def answer_questions(questions: DataFrame, fields: DataFrame, actions: DataFrame, cap: int | None = None) -> DataFrame:
+    """Answer text and sources for each question.
 
     ``questions`` holds record_id, question_id and question; ``actions``
-    holds due_date as a date. Only the first five actions of a record are
-    listed, and only their evidence and that of the named fields is gathered.
+    holds due_date as a date. With ``cap`` only so many actions of a record are listed, and so many sources given.
     """
     asked = questions.withColumn("topic", question_topic(F.col("question")))
     names = ("case_number", "court", "disposition", "judgment_date", "petitioners", "respondents", "parties")
     shown = F.when(F.size(F.coalesce("items", F.array().cast("array<string>"))) > 0, F.array_join("items", ", ")).otherwise(F.col("value"))
     wide = fields.groupBy("record_id").agg(*[F.max(F.when(F.col("field") == n, T.null_if_blank(shown))).alias(n) for n in names])
     order = Window.partitionBy("record_id").orderBy("action_index", "action_id")
-    first = actions.withColumn("n", F.row_number().over(order)).where("n <= 5")
+    first = _first(actions.withColumn("n", F.row_number().over(order)), cap)
     part = F.concat(
         F.coalesce("title", F.lit("Untitled action")), F.lit(" ["), F.coalesce("category", F.lit("uncategorized")), F.lit("], owner: "),
         F.coalesce(T.null_if_blank(F.col("responsible_department")), F.lit("owner unclear")), F.lit(", due: "),
@@ -73,14 +72,18 @@ def answer_questions(questions: DataFrame, fields: DataFrame, actions: DataFrame
     )
     quotes = _field_quotes(fields).unionByName(_action_quotes(first))
     top = Window.partitionBy("record_id", "topic").orderBy("o1", "o2")
-    five = quotes.withColumn("n", F.row_number().over(top)).where("n <= 5")
-    sources = five.groupBy("record_id", "topic").agg(
+    shown_quotes = _first(quotes.withColumn("n", F.row_number().over(top)), cap)
+    sources = shown_quotes.groupBy("record_id", "topic").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("n", "source", "page", "snippet"))), lambda s: F.struct(s["source"], s["page"], s["snippet"])).alias("sources")
     )
     out = rows.withColumn("answer", answer).join(sources, ["record_id", "topic"], "left")
     return out.select("record_id", "question_id", "topic", "answer", F.lit(True).alias("grounded"), "sources")
 
 
+def _first(rows: DataFrame, cap: int | None) -> DataFrame:
+    return rows if cap is None else rows.where(F.col("n") <= cap)
+
+
 def _field_quotes(fields: DataFrame) -> DataFrame:
     places = [(t, n, i) for t, names in SOURCE_FIELDS.items() for i, n in enumerate(names)]
     tests = [F.when(F.col("field") == n, F.struct(F.lit(t).alias("topic"), F.lit(i).alias("o1"))) for t, n, i in places]

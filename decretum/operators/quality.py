@@ -126,10 +126,10 @@ def page_counts(pages: DataFrame, column: str) -> DataFrame:
 
 
 def is_law_report(pages: DataFrame) -> DataFrame:
-    """Records whose first three pages open in law-report style."""
+    """Records whose first three pages are in law-report style."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("record_id").orderBy("page", "chunk_id")
-    head = pages.select("record_id", "page", "chunk_id", F.substring("text", 1, 500).alias("head"))
-    first = head.withColumn("n", F.row_number().over(order)).where("n <= 3")
-    return first.groupBy("record_id").agg(F.bool_or(T.matches(F.col("head"), P.LAW_REPORT_STYLE)).alias("law_report"))
+    styled = pages.select("record_id", "page", "chunk_id", T.matches(F.col("text"), P.LAW_REPORT_STYLE).alias("styled"))
+    first = styled.withColumn("n", F.row_number().over(order)).where("n <= 3")
+    return first.groupBy("record_id").agg(F.bool_or("styled").alias("law_report"))
