@@ -198,35 +198,65 @@ def _http_length(block_head: bytes) -> int:
     return int(re.search(rb"Content-Length: (\d+)", block_head)[1])
 
 
-def read_bundles(bundles: DataFrame, with_payload: bool = False) -> DataFrame:
-    """All records of the bundles in column ``bundle``, one frame in memory at a time.
-
-    Responses are checked against their digests; a revisit's ``payload_bytes`` is the
-    length its stored HTTP header names.
-    """
+def _frames(bundles: DataFrame) -> DataFrame:
+    """``bundle, frame`` of all frames that hold records, from an index or from the bundles' seek tables."""
+    named = bundles.where("bundle IS NOT NULL")
+    if "frame" in bundles.columns:
+        return named.select("bundle", "frame").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column("bundle").to_pylist():
                 fs, path = pa.fs.FileSystem.from_uri(uri)
                 with fs.open_input_file(path) as file:
-                    for start, packed, plain in seek_table(file):
-                        if plain:
-                            data = zstandard.ZstdDecompressor().decompress(file.read_at(packed, start))
-                            rows = []
-                            for fields, payload, _, end in parse_records(data):
-                                row = list(_row(fields, payload, with_payload))
-                                if row[5] is None:
-                                    row[5] = _http_length(data[end - 4 - int(fields["Content-Length"]) : end])
-                                rows.append(tuple(row))
-                            yield _record_batch(rows)
+                    held = [i for i, (_, _, plain) in enumerate(seek_table(file)) if plain]
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(held), pa.string()), pa.array(held, pa.int32())], ["bundle", "frame"])
+
+    return named.select("bundle").distinct().mapInArrow(run, "bundle string, frame int")
 
-    names = bundles.select("bundle").distinct().repartition(partitions(bundles.sparkSession), "bundle")
-    return names.mapInArrow(run, RECORDS)
+
+def read_bundles(bundles: DataFrame, with_payload: bool = False) -> DataFrame:
+    """All records of the bundles in column ``bundle``, each once.
+
+    Frames, not files, are dealt to tasks, so a large bundle is read by many; a task holds one frame at a time. Responses are
+    checked against their digests; a revisit's ``payload_bytes`` is the length its stored HTTP header names.
+    Null bundles are left out, repeated ones are read once, an empty table gives an empty result; a bundle that
+    is missing or damaged is an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, file, table = None, None, []
+        for batch in batches:
+            for uri, frame in zip(batch.column("bundle").to_pylist(), batch.column("frame").to_pylist(), strict=True):
+                if uri != last:
+                    if file is not None:
+                        file.close()
+                    fs, path = pa.fs.FileSystem.from_uri(uri)
+                    last, file = uri, fs.open_input_file(path)
+                    table = seek_table(file)
+                start, packed, _ = table[frame]
+                data = zstandard.ZstdDecompressor().decompress(file.read_at(packed, start))
+                rows = []
+                for fields, payload, _, end in parse_records(data):
+                    row = list(_row(fields, payload, with_payload))
+                    if row[5] is None:
+                        row[5] = _http_length(data[end - 4 - int(fields["Content-Length"]) : end])
+                    rows.append(tuple(row))
+                yield _record_batch(rows)
+        if file is not None:
+            file.close()
+
+    # dealt without a key: a key's exchange would be dropped after the distinct, and its few rows merged into one task
+    dealt = _frames(bundles).repartition(partitions(bundles.sparkSession)).sortWithinPartitions("bundle", "frame")
+    return dealt.mapInArrow(run, RECORDS)
 
 
 def fetch_records(index: DataFrame) -> DataFrame:
-    """The records of the given index rows, each by one seek to its frame."""
+    """The records of the given index rows, each by one seek to its frame.
+
+    Rows without a bundle are left out, repeated rows give their record again, an empty index gives an empty result;
+    a bundle that is missing or damaged is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +271,7 @@ def fetch_records(index: DataFrame) -> DataFrame:
                 rows.append(_row(fields, payload, True))
             yield _record_batch(rows)
 
-    return index.repartition(partitions(index.sparkSession), "bundle", "frame").sortWithinPartitions("bundle", "frame").mapInArrow(run, RECORDS)
+    return index.where("bundle IS NOT NULL").repartition(partitions(index.sparkSession), "bundle", "frame").sortWithinPartitions("bundle", "frame").mapInArrow(run, RECORDS)
 
 
 def warc_folder(spark: SparkSession) -> str:
