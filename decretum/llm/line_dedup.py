@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decretum.llm.common import WORD, bounded_broadcast, settle
+from decretum.llm.common import WORD, settle
 
-#: Sites whose line lists may be broadcast; beyond that the join shuffles.
-BROADCAST_SITES = 50_000
+#: Line digests, and sites that have any, whose lists may be broadcast (16 bytes a digest); beyond that the join shuffles.
+BROADCAST_LINES, BROADCAST_SITES = 500_000, 50_000
 
 
 def _lines(text: Column) -> Column:
@@ -43,12 +43,17 @@ def line_dedup(pages: DataFrame, site_col: str = "source", text_col: str = "text
     replaced).
     """
     found = settle(boilerplate_lines(pages, site_col, text_col, ratio, min_pages))
-    cut = bounded_broadcast(found.select(F.col("site").alias("_site"), F.col("keys").alias("_keys")), BROADCAST_SITES)
+    size = found.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("lines"), F.count(F.lit(1)).alias("sites")).first()
+    cut = found.select(F.col("site").alias("_site"), F.col("keys").alias("_keys"))
+    cut = F.broadcast(cut) if size["lines"] <= BROADCAST_LINES and size["sites"] <= BROADCAST_SITES else cut
     joined = pages.drop("n_lines", "n_lines_removed").join(cut, F.col(site_col).eqNullSafe(F.col("_site")), "left").drop("_site")
-    kept = F.filter(_lines(F.col(text_col)), lambda line: ~F.array_contains(F.col("_keys"), F.unhex(F.md5(line))))
-    joined = joined.withColumn("_kept", F.when(F.col("_keys").isNull(), _lines(F.col(text_col))).otherwise(kept))
+    # a page's digests are looked up together; only the few that are found are compared line by line
+    digests = F.transform(_lines(F.col(text_col)), lambda line: F.unhex(F.md5(line)))
+    joined = joined.withColumn("_hits", F.when(F.col("_keys").isNotNull(), F.array_intersect(digests, F.col("_keys")))).drop("_keys")
+    kept = F.filter(_lines(F.col(text_col)), lambda line: ~F.array_contains(F.col("_hits"), F.unhex(F.md5(line))))
+    joined = joined.withColumn("_kept", F.when(F.coalesce(F.size("_hits"), F.lit(0)) < 1, _lines(F.col(text_col))).otherwise(kept))
     size = F.coalesce(F.size(_lines(F.col(text_col))), F.lit(0))
     out = joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(size).cast("long"))
     out = out.withColumn("n_lines_removed", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
     text = F.when(F.col("n_lines_removed") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col))
-    return out.withColumn(text_col, text).drop("_keys", "_kept")
+    return out.withColumn(text_col, text).drop("_hits", "_kept")
