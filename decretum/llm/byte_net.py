@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from decretum.llm.common import fold, labelled_sample
@@ -129,25 +129,26 @@ def train_net(chunks: np.ndarray, owner: np.ndarray, y: np.ndarray, epochs: int
     return ByteNet(p["embed"], p["first"], p["second"], p["bias"], p["dense"], float(p["offset"][0]))
 
 
-def _training_chunks(raw: bytes, most: int) -> list[bytes]:
-    starts = chunk_starts(len(raw))
-    picked = starts[np.unique(np.linspace(0, len(starts) - 1, min(most, len(starts))).round().astype(int))]
-    return [raw[s : s + CHUNK_BYTES + STEP] for s in picked]
+def _chunks(raw: bytes) -> list[bytes]:
+    return [raw[s : s + CHUNK_BYTES + STEP] for s in chunk_starts(len(raw)).tolist()]
 
 
 def train_quality_net(
-    docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, sample_chunks: int = 6, id_col: str = "doc_id", text_col: str = "text", label: str = "quality"
+    docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, sample_bytes: int = 24_000_000, id_col: str = "doc_id", text_col: str = "text", label: str = "quality"
 ) -> ByteNet:
-    """Fit on ``sample_chunks`` chunks of each of ``sample_rows`` labelled documents at most, all outside the held-out fold.
+    """Fit on all chunks of at most ``sample_rows`` labelled documents of ``sample_bytes`` together, all outside the held-out fold.
 
-    Executors cut the chunks, so the driver gets about 3 kB per sampled document. Without two classes
-    the network scores every text with the labels' mean (1 without labels).
+    Rows are taken whole, in the order of their ids' digests, as long as they fit (the first one always). Executors cut the
+    chunks, which overlap. Without two classes the network scores every text with the labels' mean (1 without labels).
     """
     sample = labelled_sample(docs, labels, label, sample_rows, id_col, text_col).select("id", "label", "text")
+    order = Window.orderBy(F.md5(F.col("id").cast("string")), "id", "text")
+    before = F.coalesce(F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sample = sample.withColumn("_before", before).where(F.col("_before") + F.when(F.col("_before") > 0, F.octet_length("text")).otherwise(0) <= sample_bytes).drop("_before")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_training_chunks(t.as_py().encode("utf-8", "surrogatepass"), sample_chunks) for t in batch.column("text")]
+            found = [_chunks(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(found, pa.list_(pa.binary()))], ["id", "label", "chunks"])
 
     schema = f"id {sample.schema['id'].dataType.simpleString()}, label int, chunks array<binary>"
