@@ -18,8 +18,8 @@ from decretum.llm.tokens import CUT, both_encoder
 
 #: Characters of texts that are aligned at once; longer texts are aligned in parts, cut where both tokenizers must cut.
 PART = 1 << 18
-#: Documents of an Arrow batch, which a task holds as a whole.
-BATCH_ROWS = 1000
+#: Documents of an Arrow batch, which a task holds as a whole, and links that are joined to their counts at once.
+BATCH_ROWS, LINKS = 500, 1 << 18
 SPACE = "\u2581"
 
 
@@ -231,14 +231,19 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = batch.column("pairs")
-            links = pa.table({"row": pc.list_parent_indices(pairs), "pair": pc.list_flatten(pairs).cast(pa.int64())})
-            known = links.join(counts, "pair", join_type="inner", use_threads=False)
-            sums = known.group_by("row", use_threads=False).aggregate([("n", "sum"), ("best", "sum")])
-            out = np.zeros((2, batch.num_rows), np.int64)
-            for i, name in enumerate(("best_sum", "n_sum")):
-                out[i, sums["row"].to_numpy()] = sums[name].to_numpy()
+            upto = np.cumsum(pc.list_value_length(batch.column("pairs")).to_numpy())
+            out, at = np.zeros((2, batch.num_rows), np.int64), 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + LINKS, "right")))
+                pairs = batch.column("pairs").slice(at, to - at)
+                links = pa.table({"row": pc.list_parent_indices(pairs), "pair": pc.list_flatten(pairs).cast(pa.int64())})
+                known = links.join(counts, "pair", join_type="inner", use_threads=False)
+                sums = known.group_by("row", use_threads=False).aggregate([("n", "sum"), ("best", "sum")])
+                for i, name in enumerate(("best_sum", "n_sum")):
+                    out[i, at + sums["row"].to_numpy()] = sums[name].to_numpy()
+                at = to
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out[0]), pa.array(out[1])], [*names, "n_best", "count_sum"])
+            pa.default_memory_pool().release_unused()
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.select(*names).schema)
     out = found.mapInArrow(score, f"{kinds}, n_best long, count_sum long")
