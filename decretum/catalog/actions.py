@@ -120,19 +120,18 @@ def h2(spark, sf_dir):
 def h3(spark, sf_dir):
     directions, context, _ = j_parts(spark, sf_dir)
     rows = A.directions_to_actions(directions, context)
-    flags = F.filter("ambiguity_flags", lambda f: f != "page_or_ocr_evidence")
-    return rows.select("record_id", "action_id", A.priority_of(F.col("category"), flags, F.col("timeline.due_date").isNotNull()).alias("priority"))
+    return rows.select("record_id", "action_id", A.priority_of(F.col("category"), F.col("ambiguity_flags"), F.col("timeline.due_date").isNotNull()).alias("priority"))
 
 
 @query(
     "h4_disposition_only_actions",
     f"""SELECT record_id, concat('Review partly allowed outcome for Writ Petition No. ', record_id, ' of ', y) AS title,
       'appeal_consideration' AS category, 'high' AS priority, 0.62 AS confidence,
-      'appeal_review_required|no_explicit_operational_direction' AS flags FROM ({J_BASE}) WHERE st NOT IN ('F', 'O')""",
+      'appeal_review_required|no_explicit_operational_direction' AS flags FROM ({J_BASE}) WHERE st NOT IN ('F', 'O')
+      AND record_id NOT IN (SELECT record_id FROM ({J_NUMBERED}))""",
 )
 def h4(spark, sf_dir):
-    cover = judgment_pages(spark, sf_dir).where("page in (1, 99)")
-    cands = settle(C.page_candidates(cover, ("case_number", "page_disposition", "directions")))
+    cands = settle(C.page_candidates(judgment_pages(spark, sf_dir), ("case_number", "page_disposition", "directions")))
     rows = X.first_fields(cands, ("case_number",)).unionByName(X.page_dispositions(cands))
     out = A.disposition_only_actions(A.record_context(rows), X.direction_fields(cands))
     return out.select("record_id", "title", "category", "priority", "confidence", F.array_join("ambiguity_flags", "|").alias("flags"))

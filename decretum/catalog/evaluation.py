@@ -170,26 +170,27 @@ def j4_labels(spark, sf_dir):
 
 
 _PER_FILE = f"""{_E8} SELECT record_id AS file_name, record_id % 10 <> 0 AS success, CAST(1 + CAST(record_id % 3 <> 0 AS INT) + CAST(record_id % 4 <> 0 AS INT) AS BIGINT) AS field_hits, 4 AS field_total,
-    coalesce(ah, 0) AS action_hits, coalesce(at, 0) AS action_total, CAST(CAST(record_id % 11 <= 5 AS INT) + CAST(record_id % 2 = 0 AS INT) AS BIGINT) AS metrics_hits, 3 AS metrics_total
+    coalesce(ah, 0) AS action_hits, coalesce(at, 0) AS action_total, coalesce(ah, 0) AS direction_hits, coalesce(at, 0) AS direction_total, CAST(CAST(record_id % 11 <= 5 AS INT) + CAST(record_id % 2 = 0 AS INT) AS BIGINT) AS metrics_hits, 3 AS metrics_total
   FROM ({RECORDS}) LEFT JOIN (SELECT file_name AS f, count(*) FILTER (by_title) AS ah, count(*) AS at FROM m GROUP BY f) ON f = record_id"""
 
 
 def _per_file(spark, sf_dir):
     files = records(spark, sf_dir).select(F.col("record_id").alias("file_name"), (F.col("record_id") % 10 != 0).alias("success"))
     actions = V.score_actions(*_titles(spark, sf_dir))
-    directions = actions.where("false").select("file_name", F.lit(True).alias("match"))
+    expected, actual = (x.withColumnRenamed("title", "text") for x in _titles(spark, sf_dir))
+    directions = V.score_directions(expected, actual)
     return V.per_file_scores(files, V.score_fields(*_expected_fields(spark, sf_dir)), actions, directions, V.score_metrics(*_metric_rows(spark, sf_dir)))
 
 
 @query("f7_per_file_scores", _PER_FILE.replace("coalesce(at, 0)", "coalesce(n_at, 0)").replace("count(*) AS at", "count(*) AS n_at"))
 def f7(spark, sf_dir):
-    return _per_file(spark, sf_dir).select("file_name", "success", "field_hits", "field_total", "action_hits", "action_total", "metrics_hits", "metrics_total")
+    return _per_file(spark, sf_dir).select("file_name", "success", "field_hits", "field_total", "action_hits", "action_total", "direction_hits", "direction_total", "metrics_hits", "metrics_total")
 
 
 @query(
     "f6_accuracy_summary",
     f"""SELECT count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed, round_even(sum(field_hits) / sum(field_total), 4) AS field_accuracy,
-      round_even(sum(action_hits) / sum(action_total), 4) AS action_accuracy, 0.0 AS direction_accuracy, round_even(sum(metrics_hits) / sum(metrics_total), 4) AS metrics_accuracy FROM ({_PER_FILE.replace("coalesce(at, 0)", "coalesce(n_at, 0)").replace("count(*) AS at", "count(*) AS n_at")})""",
+      round_even(sum(action_hits) / sum(action_total), 4) AS action_accuracy, round_even(sum(direction_hits) / sum(direction_total), 4) AS direction_accuracy, round_even(sum(metrics_hits) / sum(metrics_total), 4) AS metrics_accuracy FROM ({_PER_FILE.replace("coalesce(at, 0)", "coalesce(n_at, 0)").replace("count(*) AS at", "count(*) AS n_at")})""",
 )
 def f6(spark, sf_dir):
     return V.accuracy_summary(_per_file(spark, sf_dir))

@@ -153,13 +153,14 @@ def c6_layouts(spark, sf_dir):
 
 @query(
     "c7_split_parties",
-    f"SELECT record_id, u.i AS party_no, u.p AS party FROM ({J_BASE}), "
-    "(SELECT 1 AS i, 'State of Kerala' AS p UNION ALL SELECT 2, 'BBMP' UNION ALL SELECT 3, 'Union of India') u",
+    f"SELECT record_id, 1 AS page, u.i AS party_no, u.p AS party FROM ({J_BASE}), "
+    "(SELECT 1 AS i, 'State of Kerala' AS p UNION ALL SELECT 2, 'BBMP' UNION ALL SELECT 3, 'Union of India') u "
+    f"UNION ALL SELECT record_id, page, 1, 'Union of India' FROM ({JUDGMENT_PAGES}) WHERE page <> 1",
 )
 def c7(spark, sf_dir):
-    pages = judgment_pages(spark, sf_dir).where("page = 1")
+    pages = judgment_pages(spark, sf_dir)
     said = F.concat(F.regexp_extract("text", r"v\. (.*)\n", 1), F.lit(" & Ors., Union of India Respondent(s), X"))
-    return pages.select("record_id", F.posexplode(T.split_parties(said)).alias("party_no", "party")).withColumn(
+    return pages.select("record_id", "page", F.posexplode(T.split_parties(said)).alias("party_no", "party")).withColumn(
         "party_no", F.col("party_no") + 1
     )
 

@@ -452,6 +452,19 @@ def a17(spark, sf_dir):
     return D.collapse_identical_requests(d).select("owner_request_id", "joined")
 
 
+@query(
+    "a17_fan_out_responses",
+    """SELECT doc_id AS request_id, doc_id <> min(doc_id) OVER w AS singleflight_joined, concat(CAST(count(*) OVER w AS VARCHAR), ' asked, first ', CAST(min(doc_id) OVER w AS VARCHAR)) AS raw_response
+    FROM documents WINDOW w AS (PARTITION BY text)""",
+)
+def a17_fan_out(spark, sf_dir):
+    """Each distinct request is answered once, with what its collapsed row says, and the answer goes back to all that asked."""
+    d = D.request_key(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), F.col("text").alias("messages")))
+    owners = D.collapse_identical_requests(d)
+    said = F.concat((F.col("joined") + 1).cast("string"), F.lit(" asked, first "), F.col("owner_request_id").cast("string"))
+    return D.fan_out_responses(d, owners.select("request_key", said.alias("raw_response"))).select("request_id", "singleflight_joined", "raw_response")
+
+
 # ---- metrics -------------------------------------------------------------------------
 
 

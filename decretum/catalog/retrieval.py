@@ -271,18 +271,32 @@ def i5(spark, sf_dir):
     return ctx.groupBy("record_id", "purpose").agg(F.count("*").alias("snippets"), F.max("rerank_score").alias("best"))
 
 
+# the first turn asks in every third record, every other record asks for its last pages, the rest asks for nothing
+_ASKED = "SELECT conv_id AS record_id, 0 AS query_id, text AS query FROM conversations WHERE turn = 0 AND conv_id % 3 = 0"
+_BARE = f"SELECT DISTINCT record_id FROM ({CONV}) WHERE record_id % 2 = 1 AND record_id NOT IN (SELECT record_id FROM ({_search_sql(CONV, _ASKED, 3)}))"
+_CUT = f"""CASE WHEN length(flat) <= 260 THEN flat ELSE trim(substr(flat, coalesce(greatest(list_min(list_filter(list_transform({_QTOK},
+  lambda q: strpos(lower(flat), q) - 1), lambda p: p >= 0)) - 70, 0), 0) + 1, 260)) END"""
+
+
 @query(
     "i6_context_assembly",
-    f"""SELECT record_id, page, 'agentic_page_request' AS label FROM ({_WINDOWS}) WHERE page > n - 3 AND record_id % 2 = 0
-    UNION ALL SELECT record_id, page, 'agentic_default_last_pages' FROM ({_WINDOWS}) WHERE page > n - 3 AND record_id % 2 = 1""",
+    f"""WITH c AS (SELECT record_id, page, {FLAT} AS flat, max(page) OVER (PARTITION BY record_id) AS n FROM ({CONV})),
+      bare AS ({_BARE}),
+      d AS (SELECT record_id, 0 AS query_id, '{P.CASE_DETAIL_QUERY}' AS query FROM bare),
+      hits AS (SELECT s.record_id, page, 0 AS o, 'agentic_query' AS label, query FROM ({_search_sql(CONV, _ASKED, 3)}) s JOIN ({_ASKED}) q USING (record_id, query_id)
+        UNION ALL SELECT s.record_id, page, 2, 'reranked_evidence', query FROM ({_search_sql(CONV, f"SELECT record_id, 0 AS query_id, '{P.CASE_DETAIL_QUERY}' AS query FROM (" + _BARE + ")", 6)}) s JOIN d USING (record_id)),
+      every AS (SELECT record_id, page, o, label, {_CUT} AS said FROM hits JOIN c USING (record_id, page)
+        UNION ALL SELECT record_id, page, 1, 'agentic_page_request', flat FROM c WHERE page > n - 3 AND record_id % 2 = 0
+        UNION ALL SELECT record_id, page, 3, 'agentic_default_last_pages', flat FROM c JOIN bare USING (record_id) WHERE page > n - 3)
+    SELECT record_id, page, label, md5(said) AS text_md5 FROM every QUALIFY row_number() OVER (PARTITION BY record_id, page, said ORDER BY o) = 1""",
 )
 def i6(spark, sf_dir):
     p = conv_pages(spark, sf_dir)
     ids = p.select("record_id").distinct()
     requests = ids.where("record_id % 2 = 0").select("record_id", F.lit(0).alias("request_no"), F.lit("last_3").alias("spec"))
-    queries = ids.where("false").select("record_id", F.lit(0).alias("query_no"), F.lit("").alias("query"))
-    rows = R.context_assembly(p, queries, requests)
-    return rows.where("label <> 'reranked_evidence'").select("record_id", "page", "label")
+    first = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0 AND conv_id % 3 = 0")
+    queries = first.select(F.col("conv_id").alias("record_id"), F.lit(0).alias("query_no"), F.col("text").alias("query"))
+    return R.context_assembly(p, queries, requests).select("record_id", "page", "label", F.md5("text").alias("text_md5"))
 
 
 @query(
@@ -375,13 +389,14 @@ def c20_windows(spark, sf_dir):
 
 @query(
     "c21_highlight_positions",
-    f"""WITH d AS (SELECT record_id, page, dept, kind, days, row_number() OVER (PARTITION BY record_id ORDER BY page) AS ordinal FROM ({J_LINES}))
+    f"""WITH e AS (SELECT record_id, page FROM ({J_LINES}) UNION ALL SELECT record_id, 99 FROM ({J_BASE}) WHERE st IN ('F', 'O')),
+      d AS (SELECT record_id, page, row_number() OVER (PARTITION BY record_id ORDER BY page) AS ordinal FROM e)
     SELECT record_id, min(page) AS page, 'direction' AS type, concat('Direction', CASE WHEN min(ordinal) > 1 THEN concat(' ', min(ordinal)) ELSE '' END) AS label,
       concat('Direction', CASE WHEN min(ordinal) > 1 THEN concat(' ', min(ordinal)) ELSE '' END, ' | p. ', page, ' | deterministic | 0.90') AS source_label
     FROM d GROUP BY record_id, page""",
 )
 def c21(spark, sf_dir):
-    cands = C.page_candidates(judgment_pages(spark, sf_dir), ["directions"]).where("page < 99")
+    cands = C.page_candidates(judgment_pages(spark, sf_dir), ["directions"])
     cands = X.with_ordinals(settle(cands), ["record_id"], ["page", "pos"], F.floor(F.col("page") / 64), "ordinal")
     ev = cands.select(
         "record_id", F.lit("direction").alias("target_type"), "ordinal", "evidence.page", "evidence.bbox",
@@ -391,17 +406,23 @@ def c21(spark, sf_dir):
     return R.highlight_positions(ev).select("record_id", "page", "type", "label", "source_label")
 
 
+_WORDS = {name: "|".join(w.replace(".", "[.]") for w in words) for name, words in P.FIELD_KEYWORDS.items()}
+
+
 @query(
     "i7_field_repair_context",
-    f"""SELECT record_id, 'court' AS field, page FROM ({JUDGMENT_PAGES}) WHERE page = 1
-    UNION ALL SELECT record_id, 'disposition', 99 FROM ({J_BASE}) WHERE {J_OUTCOME} IN ('allowed', 'dismissed', 'partly_allowed')""",
+    f"""SELECT record_id, u.f AS field, 1 AS page, 'deterministic_evidence' AS label FROM ({J_BASE}), (VALUES ('case_number'), ('court'), ('case_type')) u(f)
+    UNION ALL SELECT record_id, 'disposition', 99, 'deterministic_evidence' FROM ({J_BASE})
+    """ + " ".join(f"UNION ALL SELECT record_id, '{name}', page, 'section:context' FROM ({JUDGMENT_PAGES}) WHERE regexp_matches(text, '(?i)(?:{words})')" for name, words in _WORDS.items()),
 )
 def i7(spark, sf_dir):
+    """Every page is context; the fields' own evidence comes from the extractors."""
     p = judgment_pages(spark, sf_dir)
-    ctx = p.where("page in (1, 99)").select("record_id", F.lit("evidence_context").alias("section"), F.col("page").alias("rank"), "page", "chunk_id", "text")
-    ev = ctx.where("false").select("record_id", F.lit("").alias("field"), F.lit(0).alias("ordinal"), "page", "chunk_id", "text")
-    rows = R.field_repair_context(ev, ctx)
-    return rows.where("field in ('court', 'disposition')").select("record_id", "field", "page")
+    ctx = p.select("record_id", F.lit("section").alias("section"), F.col("page").alias("rank"), "page", "chunk_id", "text")
+    cands = settle(C.page_candidates(p, ("case_number", "case_type", "court", "page_disposition"), evidence=True))
+    rows = X.first_fields(cands).unionByName(X.page_dispositions(cands))
+    ev = rows.select("record_id", "field", F.posexplode("evidence").alias("ordinal", "e")).select("record_id", "field", "ordinal", "e.page", "e.chunk_id", F.col("e.snippet").alias("text"))
+    return R.field_repair_context(ev, ctx).select("record_id", "field", "page", "label")
 
 
 @query(
