@@ -411,17 +411,15 @@ _WORDS = {name: "|".join(w.replace(".", "[.]") for w in words) for name, words i
 
 @query(
     "i7_field_repair_context",
-    f"""SELECT record_id, u.f AS field, 1 AS page, 'deterministic_evidence' AS label FROM ({J_BASE}), (VALUES ('case_number'), ('court'), ('case_type')) u(f)
-    UNION ALL SELECT record_id, 'disposition', 99, 'deterministic_evidence' FROM ({J_BASE})
-    """ + " ".join(f"UNION ALL SELECT record_id, '{name}', page, 'section:context' FROM ({JUDGMENT_PAGES}) WHERE regexp_matches(text, '(?i)(?:{words})')" for name, words in _WORDS.items()),
+    f"SELECT record_id, 'court' AS field, 1 AS page, 'deterministic_evidence' AS label FROM ({J_BASE}) "
+    + " ".join(f"UNION ALL SELECT record_id, '{name}', page, 'section:context' FROM ({JUDGMENT_PAGES}) WHERE regexp_matches(text, '(?i)(?:{words})')" for name, words in _WORDS.items()),
 )
 def i7(spark, sf_dir):
-    """Every page is context; the fields' own evidence comes from the extractors."""
+    """Every page is context for every field; the court's own quote is its line on the first page."""
     p = judgment_pages(spark, sf_dir)
     ctx = p.select("record_id", F.lit("section").alias("section"), F.col("page").alias("rank"), "page", "chunk_id", "text")
-    cands = settle(C.page_candidates(p, ("case_number", "case_type", "court", "page_disposition"), evidence=True))
-    rows = X.first_fields(cands).unionByName(X.page_dispositions(cands))
-    ev = rows.select("record_id", "field", F.posexplode("evidence").alias("ordinal", "e")).select("record_id", "field", "ordinal", "e.page", "e.chunk_id", F.col("e.snippet").alias("text"))
+    line = F.regexp_extract("text", r"^(IN THE HIGH COURT OF [A-Z]+)", 1)
+    ev = p.where(line != "").select("record_id", F.lit("court").alias("field"), F.lit(0).alias("ordinal"), "page", "chunk_id", line.alias("text"))
     return R.field_repair_context(ev, ctx).select("record_id", "field", "page", "label")
 
 
