@@ -495,19 +495,6 @@ def e12_apply(spark, sf_dir):
     return U.apply_field_repair(model, answers, rules).select("record_id", "field", "value", "repaired")
 
 
-@query(
-    "e13_merge_enrichment",
-    f"SELECT record_id, CASE WHEN record_id % 2 = 0 THEN 'new court' ELSE court END AS court, CASE WHEN record_id % 2 = 1 THEN 'llm_discarded_unsupported_court' END AS risk_flag FROM ({RECORDS})",
-)
-def e13(spark, sf_dir):
-    r = records(spark, sf_dir)
-    fields = r.select("record_id", F.lit("court").alias("field"), F.col("court").alias("value"), F.lit(0.5).alias("confidence"))
-    ups = r.select("record_id", F.lit("court").alias("field"), F.lit("new court").alias("new_value"), F.lit(0.9).alias("new_confidence"))
-    judged = r.select("record_id", F.lit("court").alias("field"), (F.col("record_id") % 2 == 0).alias("supported"))
-    merged, flags = U.merge_enrichment(fields, ups, judged)
-    return merged.join(flags, "record_id", "left").select("record_id", F.col("value").alias("court"), "risk_flag")
-
-
 @query(
     "e14_field_diagnosis",
     f"""SELECT CASE record_id % 4 WHEN 0 THEN 'deterministic_found_but_llm_final_empty' WHEN 1 THEN 'llm_value_written' WHEN 2 THEN 'deterministic_value_written' ELSE 'missing_everywhere' END AS diagnosis, count(*) AS records
@@ -532,30 +519,6 @@ def e15(spark, sf_dir):
     return U.merge_action_repairs(cur, rep).select("record_id", "title", "repaired")
 
 
-@query(
-    "h12_actions_from_payload",
-    f"""SELECT record_id, 'payment_release' AS category, 'medium' AS priority, CASE WHEN record_id % 2 = 0 THEN 0.9 ELSE 0.5 END AS confidence, record_id % 2 = 1 AS requires_human_review FROM ({RECORDS})""",
-)
-def h12(spark, sf_dir):
-    r = records(spark, sf_dir)
-    none = F.lit(None).cast("string")
-    items = r.select("record_id", F.lit(0).alias("idx"), F.lit("Release the arrears").alias("title"), F.lit("BBMP").alias("responsible_department"), none.alias("category"), none.alias("priority"),
-                     F.lit(0.9).alias("confidence"), F.array().cast("array<string>").alias("ambiguity_flags"), none.alias("timeline_text"), none.alias("timeline_type"))
-    cited = r.where("record_id % 2 = 0").select("record_id", F.lit(0).alias("snippet_id"), F.lit(1).alias("page"))
-    return U.actions_from_payload(items, cited).select("record_id", "category", "priority", "confidence", "requires_human_review")
-
-
-@query(
-    "h12_fields_from_payload",
-    f"SELECT record_id, 'court' AS field, CASE WHEN record_id % 2 = 0 THEN 0.9 ELSE 0.5 END AS confidence, record_id % 2 = 1 AS requires_review FROM ({RECORDS})",
-)
-def h12_fields(spark, sf_dir):
-    r = records(spark, sf_dir)
-    cands = r.select("record_id", F.lit("court").alias("field"), F.col("court").alias("value"), F.lit(0.9).alias("confidence"))
-    cited = r.where("record_id % 2 = 0").select("record_id", F.lit("court").alias("snippet_id"), F.lit(1).alias("page"))
-    return U.fields_from_payload(cands, cited).select("record_id", "field", "confidence", "requires_review")
-
-
 @query(
     "h13_payload_to_candidates",
     f"""SELECT record_id, 'case_number' AS field, case_number AS value FROM ({RECORDS}) UNION ALL SELECT record_id, 'bench', 'A; B' FROM ({RECORDS})

@@ -512,6 +512,64 @@ def f1(spark, sf_dir):
     return out.select("record_id", "evidence_coverage_percent", "ambiguous_count", "ocr_used", "review_edit_count")
 
 
+# evidence of every line, second-source pages, duplicates and edits of every record
+_TARGETS = """SELECT l_orderkey AS record_id, CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS items,
+    CASE l_suppkey % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'vision_ocr' END AS method, CASE WHEN l_suppkey % 2 = 0 THEN 'llm_cited_snippet' END AS strategy,
+    l_partkey % 3 AS flags, l_linestatus = 'O' AS ambiguous FROM lineitem"""
+_PROFILES = "SELECT l_orderkey AS record_id, count(*) AS page_count, max(l_quantity) > 45 AS ocr_used FROM lineitem GROUP BY l_orderkey"
+_ALL_METRICS = f"""WITH t AS (SELECT * FROM ({_TARGETS})),
+    m AS (SELECT record_id, method, sum(items) AS n FROM (SELECT record_id, coalesce(method, strategy, 'unknown') AS method, items FROM t) WHERE items > 0 GROUP BY ALL),
+    ms AS (SELECT record_id, string_agg(concat(method, ':', n), ';' ORDER BY method) AS methods, bool_or(starts_with(method, 'vision_')) AS seen FROM m GROUP BY ALL),
+    c AS (SELECT record_id, CAST(round_even(avg(CASE WHEN items > 0 THEN 100.0 ELSE 0.0 END), 0) AS INT) AS cover, count(*) FILTER (ambiguous) + sum(flags) AS unsure FROM t GROUP BY ALL),
+    d AS (SELECT user_id AS record_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY ALL),
+    a AS (SELECT record_id, count(*) AS n FROM ({AUDIT}) WHERE event_type IN ('field_update', 'action_update') GROUP BY ALL)
+  SELECT r.record_id, r.overall_confidence, coalesce(cover, 0) AS evidence_coverage_percent, coalesce(unsure, 0) AS ambiguous_count, coalesce(methods, '') AS methods, p.page_count,
+    coalesce(seen, false) OR r.vision_ocr_used AS vision_ocr_used, coalesce(seen, false) OR r.vision_ocr_used OR r.ocr_used OR coalesce(p.ocr_used, false) AS ocr_used,
+    CASE WHEN r.vision_ocr_used THEN '1' ELSE '' END AS ocr_pages, coalesce(d.n, 0) AS duplicate_count, coalesce(a.n, 0) AS review_edit_count
+  FROM ({RECORDS}) r LEFT JOIN c USING (record_id) LEFT JOIN ms USING (record_id) LEFT JOIN d USING (record_id) LEFT JOIN a USING (record_id) LEFT JOIN ({_PROFILES}) p USING (record_id)"""
+
+
+def _metric_inputs(spark, sf_dir):
+    t = sql_table(spark, sf_dir, _TARGETS)
+    proof = F.struct(F.col("method").alias("extraction_method"), F.col("strategy").alias("match_strategy"))
+    targets = t.select(
+        "record_id", F.lit("direction").alias("kind"), F.when(F.col("items") > 0, F.array_repeat(proof, F.col("items"))).otherwise(F.array_repeat(proof, 0)).alias("evidence"),
+        F.array_repeat(F.lit("unclear"), F.col("flags").cast("int")).alias("flags"), "ambiguous",
+    )
+    meta = F.struct(
+        F.when(F.col("vision_ocr_used"), "vision_ocr_all").alias("ocr_routing"), F.lit(None).cast("boolean").alias("vision_fallback_used"), "ocr_used",
+        F.array().cast("array<int>").alias("ocr_pages"), F.when(F.col("vision_ocr_used"), F.array(F.lit(1))).alias("vision_pages"),
+    )
+    named = records(spark, sf_dir).select("record_id", "overall_confidence", F.lit(None).cast("long").alias("processing_ms"), meta.alias("source_metadata"))
+    copies = read(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("record_id"))
+    return targets, dict(records=named, profiles=sql_table(spark, sf_dir, _PROFILES), duplicates=copies, audit=audit(spark, sf_dir))
+
+
+def _metric_rows(m):
+    methods = F.array_join(F.transform(F.map_entries(F.coalesce("extraction_method_counts", F.create_map().cast("map<string,bigint>"))), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ";")
+    return m.select("record_id", "overall_confidence", "evidence_coverage_percent", "ambiguous_count", methods.alias("methods"), "page_count", "vision_ocr_used", "ocr_used",
+                    F.array_join("ocr_pages", ";").alias("ocr_pages"), "duplicate_count", "review_edit_count")
+
+
+@query("f1_metrics_of_all_inputs", _ALL_METRICS)
+def f1_all(spark, sf_dir):
+    targets, inputs = _metric_inputs(spark, sf_dir)
+    return _metric_rows(M.record_metrics(targets, **inputs))
+
+
+@query(
+    "a8_refresh_metrics",
+    f"""WITH new AS ({_ALL_METRICS}), known AS (SELECT DISTINCT record_id FROM ({AUDIT}) WHERE event_type IN ('field_update', 'action_update'))
+    SELECT new.* REPLACE (CASE WHEN known.record_id IS NULL THEN 0 ELSE review_edit_count END AS review_edit_count) FROM new LEFT JOIN known USING (record_id)""",
+)
+def a8_refresh(spark, sf_dir):
+    targets, inputs = _metric_inputs(spark, sf_dir)
+    before = settle(M.record_metrics(targets, **{k: v for k, v in inputs.items() if k != "audit"}))
+    changed = inputs["audit"].where("event_type IN ('field_update', 'action_update')").select("record_id")
+    changed = changed.join(inputs["records"].select("record_id"), "record_id", "left_semi")
+    return _metric_rows(M.refresh_metrics(before, changed, targets, **inputs))
+
+
 @query("f2_extraction_method_counts", f"{_F1} SELECT record_id, 'deterministic' AS method, count(*) AS evidence_count FROM t GROUP BY record_id")
 def f2(spark, sf_dir):
     rows, directions, acts = _j_targets(spark, sf_dir)

@@ -311,6 +311,16 @@ def names_compatible(left: Column, right: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def roles_consistent(roles: Column, parties: Column) -> Column:
+    """Every name in a role fits some party; true where either list is empty."""
+    keys = F.transform(parties, name_match_key)
+
+    def fits(role: Column) -> Column:
+        return F.exists(keys, lambda party: names_compatible(name_match_key(role), party))
+
+    return (F.size(roles) == 0) | (F.size(parties) == 0) | F.forall(roles, fits)
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 

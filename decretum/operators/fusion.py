@@ -256,21 +256,6 @@ def apply_field_repair(model: DataFrame, repairs: DataFrame, rules: DataFrame) -
     )
 
 
-def merge_enrichment(fields: DataFrame, updates: DataFrame, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Field updates that their quote supports; the others become reject flags.
-
-    ``updates`` holds record_id, field, new_value and new_confidence;
-    ``judged`` record_id, field and supported.
-    """
-    rows = updates.join(judged.select("record_id", "field", "supported"), ["record_id", "field"], "left")
-    good = F.coalesce("supported", F.lit(False))
-    take = rows.where(good).select("record_id", "field", "new_value", "new_confidence")
-    flags = rows.where(~good).select("record_id", F.concat(F.lit("llm_discarded_unsupported_"), "field").alias("risk_flag"))
-    both = fields.join(take, ["record_id", "field"], "left")
-    merged = both.withColumns({"value": F.coalesce("new_value", "value"), "confidence": F.coalesce("new_confidence", "confidence")})
-    return merged.select(*fields.columns), flags
-
-
 def field_diagnosis(rules: DataFrame, model: DataFrame, final: DataFrame) -> DataFrame:
     """For each record and field: which of rule, model and final value is empty, in words."""
 
@@ -352,14 +337,78 @@ DIRECTION_PATHS = [
 ]
 
 
+#: Where second-source JSON holds each side of the parties, in the parties' own object and in the case details.
+PARTY_OBJECTS = ("$.parties", "$.parties_involved")
+#: Fields that a bare list of pages places: those of the first page, and those of the last.
+FIRST_PAGE_FIELDS = ("case_number", "court", "bench", "parties", "petitioners", "respondents")
+LAST_PAGE_FIELDS = ("judgment_date", "disposition", "directions")
+
+
+def payload_parties(json: Column) -> Column:
+    """Petitioners, respondents and all parties of second-source JSON as a struct of lists.
+
+    Roles in the case details win over those of the parties' object, unless a name among them fits no party.
+    """
+    none = F.array().cast("array<string>")
+
+    def side(name: str) -> Column:
+        return _first_filled(json_items(json, f"$.parties.{name}"), json_items(json, f"$.parties_involved.{name}"))
+
+    plain = none
+    for path in reversed(PARTY_OBJECTS):
+        raw = F.get_json_object(json, path)
+        plain = _first_filled(F.when(raw.startswith("{"), none).otherwise(json_items(json, path)), plain)
+    said = {name: side(name) for name in ("petitioners", "respondents")}
+    both = F.concat(said["petitioners"], F.array_except(said["respondents"], said["petitioners"]))
+    parties = _first_filled(both, plain)
+
+    def role(name: str) -> Column:
+        own = _first_filled(json_items(json, f"$.case_details.{name}"), json_items(json, f"$.{name}"))
+        return F.when((F.size(own) > 0) & T.roles_consistent(own, parties), own).otherwise(said[name])
+
+    return F.struct(role("petitioners").alias("petitioners"), role("respondents").alias("respondents"), parties.alias("parties"))
+
+
+def payload_pages(json: Column) -> Column:
+    """Evidence page of each field as a map: given by field, or as a list whose first and last page stand for fields.
+
+    Directions without a page of their own take that of the last direction that names one.
+    """
+    raw = F.coalesce(F.get_json_object(json, "$.evidence_pages"), F.get_json_object(json, "$.case_details.evidence_pages"))
+
+    def digits(x: Column) -> Column:
+        return F.when(x.rlike(r"^\d+$"), x).try_cast("int")
+
+    def page_of(x: Column, *names: str) -> Column:
+        return digits(F.coalesce(*[F.get_json_object(x, f"$.{n}") for n in names]))
+
+    named = F.map_filter(F.transform_values(F.from_json(raw, "map<string,string>"), lambda _, v: digits(v)), lambda _, v: v.isNotNull())
+    listed = F.filter(F.transform(F.from_json(raw, "array<string>"), lambda x: page_of(x, "page_number", "page")), lambda p: p.isNotNull())
+    first, last = F.get(listed, 0), F.element_at(listed, -1)
+    pairs = [F.struct(F.lit(f).alias("f"), first.alias("p")) for f in FIRST_PAGE_FIELDS] + [F.struct(F.lit(f).alias("f"), last.alias("p")) for f in LAST_PAGE_FIELDS]
+    none = F.create_map().cast("map<string,int>")
+    placed = F.coalesce(
+        F.when(raw.startswith("{"), named), F.when(raw.startswith("[") & (F.size(listed) > 0), F.map_from_entries(F.array(*pairs))), none
+    )
+    orders = F.coalesce(*[F.when(F.get_json_object(json, p).startswith("["), F.get_json_object(json, p)) for p in DIRECTION_PATHS])
+    sources = F.filter(
+        F.transform(F.from_json(orders, "array<string>"), lambda x: page_of(x, "source_page", "page_number", "page")), lambda p: p.isNotNull()
+    )
+    more = F.when(~F.map_contains_key(placed, F.lit("directions")) & (F.size(sources) > 0), F.create_map(F.lit("directions"), F.element_at(sources, -1)))
+    return F.map_concat(placed, F.coalesce(more, none))
+
+
 def payload_to_candidates(payloads: DataFrame) -> DataFrame:
     """Long field rows from second-source JSON in any of its accepted shapes.
 
-    ``payloads`` holds record_id and json. The first path that yields items wins.
+    ``payloads`` holds record_id and json. The first path that yields items wins; parties follow ``payload_parties``.
+    ``evidence_page`` is null where the payload places neither the field nor a page list.
     """
     none = F.array().cast("array<string>")
-    rows = []
+    found = {}
     for field, paths in PAYLOAD_PATHS.items():
+        if field in ("petitioners", "respondents"):
+            continue
         items = none
         for path in reversed(paths):
             here = json_items(F.col("json"), path)
@@ -368,8 +417,13 @@ def payload_to_candidates(payloads: DataFrame) -> DataFrame:
             if field == "advocates":
                 here = F.filter(here, T.looks_like_advocate)
             items = _first_filled(here, items)
-        rows.append(F.struct(F.lit(field).alias("field"), items.alias("items")))
-    long = payloads.select("record_id", F.explode(F.array(*rows)).alias("c")).select("record_id", "c.field", "c.items")
+        found[field] = items
+    named = payloads.select("record_id", "json", payload_parties(F.col("json")).alias("_sides"), payload_pages(F.col("json")).alias("_pages"))
+    found |= {side: F.col(f"_sides.{side}") for side in ("petitioners", "respondents", "parties")}
+    rows = [F.struct(F.lit(field).alias("field"), items.alias("items")) for field, items in found.items()]
+    long = named.select("record_id", "_pages", F.explode(F.array(*rows)).alias("c")).select(
+        "record_id", "c.field", "c.items", F.try_element_at("_pages", F.col("c.field")).alias("evidence_page")
+    )
     return long.where(F.size("items") > 0).withColumn("value", F.array_join("items", "; "))
 
 
@@ -387,33 +441,23 @@ def payload_directions(payloads: DataFrame) -> DataFrame:
     return rows.where(~heading_only(F.col("value")))
 
 
-def fields_from_payload(candidates: DataFrame, citations: DataFrame) -> DataFrame:
-    """Typed field rows of a model answer with calibrated confidence and review mark.
-
-    ``candidates`` holds record_id, field, value and confidence; ``citations``
-    is ``cite_evidence`` keyed by field as snippet_id.
-    """
-    cited = citations.select("record_id", F.col("snippet_id").alias("field"), F.col("page").alias("evidence_page"))
-    rows = candidates.join(cited, ["record_id", "field"], "left")
-    empty = T.is_empty_text(F.col("value"))
-    has = F.col("evidence_page").isNotNull() & ~empty
-    conf = T.calibrated_confidence(F.col("confidence"), empty, has, F.lit(True))
-    return rows.select(
-        "record_id", "field", "value", conf.alias("confidence"), "evidence_page", ((conf < 0.75) | ~has).alias("requires_review")
-    )
-
-
-def actions_from_payload(items: DataFrame, citations: DataFrame) -> DataFrame:
+def actions_from_payload(items: DataFrame, citations: DataFrame | None) -> DataFrame:
     """Typed action rows of a model answer.
 
     ``items`` holds record_id, idx, title, responsible_department, category,
     priority, confidence, ambiguity_flags, timeline_text and timeline_type;
-    ``citations`` is keyed by idx as snippet_id.
+    ``citations`` is keyed by idx as snippet_id, or None where the items have evidence_page already. A ``requires_human_review`` mark of the answer stays; further columns are carried along.
     """
     from decretum.operators.actions import classify, priority_of
 
-    cited = citations.select("record_id", F.col("snippet_id").alias("idx"), F.col("page").alias("evidence_page"))
-    rows = items.where("coalesce(title, '') <> ''").join(cited, ["record_id", "idx"], "left")
+    named = ("record_id", "idx", "title", "responsible_department", "category", "priority", "confidence", "ambiguity_flags", "timeline_type")
+    more = [c for c in items.columns if c not in (*named, "requires_human_review", "evidence_page")]
+    asked = F.coalesce("requires_human_review", F.lit(False)) if "requires_human_review" in items.columns else F.lit(False)
+
+    rows = items.where("coalesce(title, '') <> ''")
+    if citations is not None:
+        cited = citations.select("record_id", F.col("snippet_id").alias("idx"), F.col("page").alias("evidence_page"))
+        rows = rows.drop("evidence_page").join(cited, ["record_id", "idx"], "left")
     derived = classify(F.col("title"), F.lit(None).cast("string"))["category"]
     category = T.normalise_category(F.coalesce(T.null_if_blank(F.col("category")), derived))
     flags = T.normalise_flags(F.coalesce("ambiguity_flags", F.array().cast("array<string>")))
@@ -425,8 +469,8 @@ def actions_from_payload(items: DataFrame, citations: DataFrame) -> DataFrame:
     conf = T.calibrated_confidence(F.col("confidence"), F.lit(False), has, owner)
     return rows.select(
         "record_id", "idx", "title", "responsible_department", category.alias("category"), priority.alias("priority"), conf.alias("confidence"),
-        flags.alias("ambiguity_flags"), "evidence_page", ((conf < 0.75) | (F.size(flags) > 0)).alias("requires_human_review"),
-        F.coalesce("timeline_type", F.lit("missing")).alias("timeline_type"),
+        flags.alias("ambiguity_flags"), "evidence_page", (asked | (conf < 0.75) | (F.size(flags) > 0)).alias("requires_human_review"),
+        F.coalesce("timeline_type", F.lit("missing")).alias("timeline_type"), *more,
     )
 
 

@@ -42,19 +42,30 @@ def evidence_targets_long(fields: DataFrame, directions: DataFrame, actions: Dat
 
 
 def record_metrics(
-    targets: DataFrame, *, profiles: DataFrame | None = None, duplicates: DataFrame | None = None, audit: DataFrame | None = None
+    targets: DataFrame, *, records: DataFrame | None = None, profiles: DataFrame | None = None, duplicates: DataFrame | None = None,
+    audit: DataFrame | None = None,
 ) -> DataFrame:
-    """Evidence coverage and counts per record.
+    """Evidence coverage, counts, page methods and confidence per record.
 
     ``targets`` is ``evidence_targets_long``; ``profiles`` holds page_count and
-    ocr_used, ``duplicates`` one row per candidate, ``audit`` the events.
+    ocr_used, ``duplicates`` one row per candidate, ``audit`` the events. ``records`` names the records to report, those without
+    targets too (coverage 0), with overall_confidence, processing_ms and ``source_metadata``, a struct of ocr_routing, vision_fallback_used, ocr_used,
+    ocr_pages and vision_pages; without it there is one row per record of ``targets``.
     """
-    has = F.size("evidence") > 0
+    zero = F.lit(0).cast("long")
+    method = F.coalesce("e.extraction_method", F.col("e.match_strategy") if "match_strategy" in targets.schema["evidence"].dataType.simpleString() else F.lit(None), F.lit("unknown"))
     rows = targets.groupBy("record_id").agg(
-        F.bround(F.avg(F.when(has, 100.0).otherwise(0.0)), 0).cast("int").alias("evidence_coverage_percent"),
+        F.bround(F.avg(F.when(F.size("evidence") > 0, 100.0).otherwise(0.0)), 0).cast("int").alias("evidence_coverage_percent"),
         (F.count_if("ambiguous") + F.sum(F.size("flags"))).alias("ambiguous_count"),
-        F.bool_or(F.exists("evidence", lambda e: F.coalesce(e["extraction_method"].startswith("vision_"), F.lit(False)))).alias("vision_ocr_used"),
     )
+    counts = targets.select("record_id", F.explode("evidence").alias("e")).groupBy("record_id", method.alias("method")).agg(F.count("*").alias("n"))
+    methods = counts.groupBy("record_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("method", "n")))).alias("extraction_method_counts"))
+    rows = rows.join(methods, "record_id", "left")
+    if records is None:
+        rows = rows.withColumns({"_meta": F.lit(None).cast(_META), "overall_confidence": F.lit(None).cast("double"), "processing_ms": F.lit(None).cast("long")})
+    else:
+        named = records.select("record_id", F.col("source_metadata").alias("_meta"), "overall_confidence", "processing_ms")
+        rows = named.join(rows, "record_id", "left")
     if profiles is not None:
         rows = rows.join(profiles.select("record_id", "page_count", F.col("ocr_used").alias("_ocr")), "record_id", "left")
     else:
@@ -62,19 +73,46 @@ def record_metrics(
     if duplicates is not None:
         rows = rows.join(duplicates.groupBy("record_id").agg(F.count("*").alias("duplicate_count")), "record_id", "left")
     else:
-        rows = rows.withColumn("duplicate_count", F.lit(0).cast("long"))
+        rows = rows.withColumn("duplicate_count", zero)
     if audit is not None:
         edits = audit.where(F.col("event_type").isin("field_update", "action_update"))
         rows = rows.join(edits.groupBy("record_id").agg(F.count("*").alias("review_edit_count")), "record_id", "left")
     else:
-        rows = rows.withColumn("review_edit_count", F.lit(0).cast("long"))
+        rows = rows.withColumn("review_edit_count", zero)
+
+    def told(c) -> Column:
+        return F.coalesce(c, F.lit(False))
+
+    seen = F.exists(F.map_keys(F.coalesce("extraction_method_counts", F.create_map().cast("map<string,bigint>"))), lambda m: m.startswith("vision_"))
+    vision = told(F.col("_meta.ocr_routing").startswith("vision_ocr")) | told(F.col("_meta.vision_fallback_used")) | seen
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
     return rows.withColumns(
         {
-            "ocr_used": F.coalesce("_ocr", F.lit(False)) | F.col("vision_ocr_used"),
-            "duplicate_count": F.coalesce("duplicate_count", F.lit(0)),
-            "review_edit_count": F.coalesce("review_edit_count", F.lit(0)),
+            "evidence_coverage_percent": F.coalesce("evidence_coverage_percent", F.lit(0)),
+            "ambiguous_count": F.coalesce("ambiguous_count", zero),
+            "vision_ocr_used": vision,
+            "ocr_used": told("_ocr") | told(F.col("_meta.ocr_used")) | vision,
+            "ocr_pages": F.coalesce(some("_meta.ocr_pages"), some("_meta.vision_pages"), F.array().cast("array<int>")),
+            "duplicate_count": F.coalesce("duplicate_count", zero),
+            "review_edit_count": F.coalesce("review_edit_count", zero),
+            "overall_confidence": F.coalesce("overall_confidence", F.lit(0.0)),
         }
-    ).drop("_ocr")
+    ).drop("_ocr", "_meta")
+
+
+_META = "struct<ocr_routing:string,vision_fallback_used:boolean,ocr_used:boolean,ocr_pages:array<int>,vision_pages:array<int>>"
+
+
+def refresh_metrics(metrics: DataFrame, changed: DataFrame, targets: DataFrame, **inputs: DataFrame) -> DataFrame:
+    """Metrics with the rows of ``changed`` records computed anew from their inputs, the others as they are.
+
+    ``changed`` holds record_id; records that no input has any more leave the table. The inputs are those of ``record_metrics``, each filtered to the
+    changed ids before anything is grouped. ``store.write_buckets`` then rewrites only the parts of the stored table that hold those ids.
+    """
+    ids = changed.select("record_id").distinct()
+    only = lambda df: df.join(ids, "record_id", "left_semi")
+    fresh = record_metrics(only(targets), **{name: only(df) for name, df in inputs.items()})
+    return metrics.join(ids, "record_id", "left_anti").unionByName(fresh.select(*metrics.columns))
 
 
 def extraction_method_counts(targets: DataFrame) -> DataFrame:

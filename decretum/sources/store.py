@@ -131,6 +131,31 @@ def delete_documents(store: DataFrame, ids: DataFrame, keys: Sequence[str] = ("i
     return store.join(asked, list(keys), "left_anti"), asked.join(store.select(*keys), list(keys), "left_anti")
 
 
+def with_bucket(df: DataFrame, buckets: int, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """Rows with ``bucket``, by their key's hash: the partition column of a stored table."""
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def write_buckets(changes: DataFrame, path: str, buckets: int, change, keys: Sequence[str] = ("id",)) -> int:
+    """Apply a change to the table at ``path``, partitioned by ``bucket``, and rewrite only the buckets of the changed keys; their number is returned.
+
+    ``change(part, changes)`` gives the new rows of the touched part of the table, for example ``upsert_documents``. The new rows are written
+    to the shared folder first, so a lost executor or a failed change leaves the old rows; then the touched partitions are replaced one after another,
+    and a reader meanwhile can see some of them old. A bucket that loses all its rows is kept until its table is written anew: ``change`` has to mark such rows as deleted.
+    """
+    from decretum.sources.tables import settle
+
+    spark = changes.sparkSession
+    new = settle(changes)
+    touched = [r.bucket for r in with_bucket(new.select(*keys), buckets, keys).select("bucket").distinct().collect()]
+    if not touched:
+        return 0
+    part = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
+    rows = settle(with_bucket(change(part, new), buckets, keys))
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return len(touched)
+
+
 def event_id(columns: Sequence[str]) -> Column:
     """Identity of an event by its content: a repeated write yields the same id."""
     return F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]), 256)
