@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from decretum.operators import candidates as C
+from decretum.operators import payloads as Y
 
 
 def test_pages_of_one_split_are_spread(spark):
@@ -11,3 +12,9 @@ def test_pages_of_one_split_are_spread(spark):
     sizes = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in sizes) == 200
     assert len(sizes) > 1 and max(r["count"] for r in sizes) < 200
+
+
+def test_answers_of_one_split_are_spread(spark):
+    answers = spark.range(200).select(F.col("id").alias("record_id"), F.lit('{"a": 1}').alias("json")).coalesce(1)
+    docs = Y.parsed_answers(answers)
+    assert docs.count() == 200 and docs.select(F.spark_partition_id()).distinct().count() > 1
