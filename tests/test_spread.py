@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from decretum.operators import candidates as C
+from decretum.operators import fusion as U
 from decretum.operators import payloads as Y
 from decretum.operators import retrieval as R
 
@@ -27,3 +28,10 @@ def test_quotes_of_one_split_are_spread(spark):
     found = R.locate_quotes(rows.coalesce(1))
     sizes = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in sizes) == 100 and len(sizes) > 2
+
+
+def test_second_source_answers_of_one_split_are_spread(spark):
+    answers = spark.range(100).select(F.col("id").alias("record_id"), F.lit('{"court": "High Court of Kerala"}').alias("json")).coalesce(1)
+    found = U.payload_to_candidates(answers).where("field = 'court'")
+    sizes = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in sizes) == 100 and len(sizes) > 1
