@@ -32,3 +32,12 @@ def test_a_row_found_by_its_index_matches_only_without_texts(spark):
     actual = spark.createDataFrame([(1, 0, "B", "x", "c", "p"), (1, 1, None, "x", "c", "q"), (1, 2, "Z", "x", "c", "p"), (1, 7, " d ", "y", "c", "p")], given)
     rows = sorted((r["action_index"], r["title_match"], r["note"]) for r in V.score_actions(wanted, actual).collect())
     assert rows == [(0, False, "matched by index"), (1, True, "matched by title"), (2, False, "matched by index"), (3, True, "matched by title"), (4, False, "no matching action found")]
+
+
+def test_scores_of_a_file_are_made_where_its_rows_were_dealt(spark, monkeypatch):
+    plans = []
+    real = E.settle
+    monkeypatch.setattr(E, "settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    E._per_file(spark, "/root/testdata/sf0.001")
+    shuffles = [line for line in plans[-1].splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffles and not any("hashpartitioning(file_name" in line and ", " in line.split("hashpartitioning(")[1].split("),")[0].rsplit(", ", 1)[0] for line in shuffles), shuffles
